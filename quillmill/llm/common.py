@@ -53,14 +53,14 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
             yield batch.slice(a, b - a)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, text: str = "text") -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded size. fn gives a dict of columns (lists or arrays) for a slice."""
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     fields = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 got = fn(part)
                 columns = [x if isinstance(x := got[f.name], pa.Array) else pa.array(x, type=f.type) for f in fields]
                 yield pa.RecordBatch.from_arrays([x if x.type == f.type else x.cast(f.type) for x, f in zip(columns, fields)], schema=fields)

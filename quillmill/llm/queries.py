@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe, token_counts
+from quillmill.llm import bpe, jpeg, token_counts
 from quillmill.llm.common import table
 
 
+def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
