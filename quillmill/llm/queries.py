@@ -5,15 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, jpeg, token_counts
-from quillmill.llm.common import table
+from quillmill.llm import bpe, jpeg, langid, token_counts, toxicity
+from quillmill.llm.common import remainder, table
 
 
 def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_compression_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, remainder("doc_id", 5) != 0)
+    found = langid.classify(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op3_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 4) != 2)
+    found = toxicity.scan(docs, model)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "passages")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
