@@ -35,6 +35,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished work go when the driver drops what refers to them
     return spark.read.schema(df.schema).parquet(path)
 
 
