@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, decontaminate, jpeg, langid, secrets, substrings, token_counts, toxicity
+from quillmill.llm import bpe, decontaminate, jpeg, langid, neardup, secrets, substrings, token_counts, toxicity
 from quillmill.llm.common import remainder, table
 
 
@@ -38,6 +38,10 @@ def op6_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
