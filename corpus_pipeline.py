@@ -6,18 +6,47 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import bpe
-from quillmill.llm.common import shared_dir, table
+from quillmill.llm import bpe, decontaminate, langid, neardup, secrets
+from quillmill.llm.common import remainder, shared_dir, table
+
+#: Margin of the two smallest compressed sizes below which a text counts as in no language.
+MIN_MARGIN = 0.005
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and long ones that no language's dictionary helps more than another's, go."""
+    return langid.keep_known(docs, langid.fit(docs, remainder("doc_id", 5) != 0), MIN_MARGIN)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts with 0.8 or more of their five-word shingles in common, by links, the one of least id stays."""
+    return neardup.keep_one(docs)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages leave their texts; texts that are mostly benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Values that look live are masked."""
+    return secrets.redact(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text that is left."""
+    """doc_id, n_tokens and the ids of every text that is left."""
     return bpe.encode(docs)
 
 
-STAGES = [("byte-level BPE", encoded)]
+STAGES = [
+    ("language ID", known_language),
+    ("near-duplicates", without_near_duplicates),
+    ("benchmark decontamination", without_benchmarks),
+    ("secret scan", without_secrets),
+    ("byte-level BPE", encoded),
+]
 
-#: The stages run compressors, hashes and merges that SQL has no functions for; tests hold them against brute force.
+#: Compressed sizes, signatures and merges have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -89,17 +89,22 @@ def decide(model: Dictionaries, text: str | None) -> tuple[str, float]:
     return model.names[best], max(0.0, 1 - got[best] / rest) if rest else 1.0
 
 
+def rejects(text: str | None, name: str, margin: float, min_margin: float, min_bytes: int = 256) -> bool:
+    """No language, or a narrow margin in a text long enough for its language to show."""
+    return name == UNKNOWN or margin < min_margin and len(text or "") >= min_bytes
+
+
 def classify(df: DataFrame, model: Dictionaries, min_margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (the margin, 0 to 1) and rejected for every whole text.
 
     Null texts and texts without a letter are ``und``, with score 0, and rejected; so are all with no language learned.
-    A margin below ``min_margin`` rejects but keeps the smallest one's name. Repeated rows stay, equal texts get equal values.
+    A margin below ``min_margin`` rejects texts of 256 characters or more, but keeps the smallest one's name. Repeated rows stay, equal texts get equal values.
     """
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
     def part(batch: pa.RecordBatch) -> dict:
         found = [decide(shipped.value, x) for x in column(batch, "text").to_pylist()]
-        return {"doc_id": column(batch, "doc_id"), "lang_pred": [x for x, _ in found], "score": [m for _, m in found], "rejected": [x == UNKNOWN or m < min_margin for x, m in found]}
+        return {"doc_id": column(batch, "doc_id"), "lang_pred": [x for x, _ in found], "score": [m for _, m in found], "rejected": [rejects(t, x, m, min_margin) for t, (x, m) in zip(column(batch, "text").to_pylist(), found)]}
 
     kind = df.schema[id_col].dataType.simpleString()
     return arrow_map(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), part, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
@@ -111,7 +116,8 @@ def keep_known(df: DataFrame, model: Dictionaries, min_margin: float, text_col:
 
     def run(batches):
         for batch in batches:
-            found = [decide(shipped.value, x) for x in column(batch, text_col).to_pylist()]
-            yield batch.filter(pa.array([x != UNKNOWN and m >= min_margin for x, m in found], pa.bool_()))
+            read = column(batch, text_col).to_pylist()
+            found = [decide(shipped.value, x) for x in read]
+            yield batch.filter(pa.array([not rejects(t, x, m, min_margin) for t, (x, m) in zip(read, found)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, decontaminate, jpeg, langid, neardup, secrets, substrings, token_counts, toxicity
+from quillmill.llm import bpe, decontaminate, jpeg, langid, lattice, neardup, secrets, substrings, token_counts, toxicity
 from quillmill.llm.common import remainder, table
 
 
@@ -29,6 +29,11 @@ def op3_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "passages")
 
 
+def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lattice.with_hold_out(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+    return lattice.score(docs, lattice.fit(docs))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
