@@ -12,12 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmill.operators.pairs import distinct_pairs
 
 #: Raw records: one JSON object a file or line.
-RECORD = T.StructType.fromDDL("split string, source_id string, source string, generator string, current string, candidates array<struct<text:string,finish_reason:string,slot:int,temperature:double>>")
+RECORD = "split string, source_id string, source string, generator string, current string, candidates array<struct<text:string,finish_reason:string,slot:int,temperature:double>>"
 
 
 class Store:
