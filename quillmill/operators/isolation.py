@@ -81,16 +81,18 @@ def cascade(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
     return df.withColumn("reason", out)
 
 
-def containment(docs: DataFrame, items: DataFrame, size: int = 8) -> DataFrame:
-    """(doc_id, item_id) where the item's text stands in the document's: an equi-join on the item's first characters, then a check.
+def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) where the item's text stands in the document's, for items of at least four words.
 
-    Every place of a document gives one candidate, so the join is by hash and not every pair of texts is compared.
-    Items shorter than ``size`` characters are not found.
+    The inner words of an item that is contained stand in the document as whole words, so an equi-join on its second and
+    third word finds all candidates, each then checked once; not every pair of texts is compared.
     """
-    head = items.where(F.length("text") >= size).select("item_id", F.col("text").alias("item"), F.xxhash64(F.substring("text", 1, size)).alias("head"))
-    places = docs.where(F.length("text") >= size).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - size + 1)).alias("at"))
-    near = places.withColumn("head", F.xxhash64(F.expr(f"substring(text, at, {size})"))).join(head, "head")
-    return near.where(F.expr("substring(text, at, length(item)) = item")).select("doc_id", "item_id").distinct()
+    words = lambda c: F.split(F.trim(c), r"\s+")
+    inner = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") >= 4)
+    inner = inner.select("item_id", "item", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("pair"))
+    placed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("at", "word"))
+    near = placed.select("doc_id", F.xxhash64("word", F.get("w", F.col("at") + 1)).alias("pair")).join(inner.select("pair", "item_id"), "pair").select("doc_id", "item_id").distinct()
+    return near.join(docs.select("doc_id", "text"), "doc_id").join(inner.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
 
 
 def forbidden_phrases(df: DataFrame, text: str, phrases: list[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries over the driver's tables; importing this registers them."""
 
-from quillmill.plans import corpus, pairs
+from quillmill.plans import corpus, pairs, runs
 from quillmill.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "corpus", "pairs"]
+__all__ = ["QUERIES", "SQL", "corpus", "pairs", "runs"]

@@ -80,12 +80,12 @@ def traces(spark: SparkSession, d: str) -> DataFrame:
 
 def arms(spark: SparkSession, d: str) -> DataFrame:
     """Line items: an arm's mean net price for each part is the metric of a sample."""
-    net = F.round(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4)
+    net = F.round(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 8)
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("arm"), F.col("l_partkey").alias("sample_id")).agg(net.alias("metric"))
 
 
 ARMS = """
-arms AS (SELECT l_returnflag AS arm, l_partkey AS sample_id, round(avg(l_extendedprice * (1 - l_discount)), 4) AS metric
+arms AS (SELECT l_returnflag AS arm, l_partkey AS sample_id, round(avg(l_extendedprice * (1 - l_discount)), 8) AS metric
   FROM lineitem GROUP BY 1, 2)
 """
 
