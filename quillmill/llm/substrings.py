@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import arrow_map, column, stored, texts
+from quillmill.llm.common import arrow_map, column, forget, stored, texts
 from quillmill.llm.hashing import mix, run_hashes, word_hashes
 
 #: Words in a window.
@@ -164,16 +164,19 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     first = stored(arrow_map(marked, _first_pass(window), f"doc_id {kind}, mark long, n_words long, whole_sha256 string, hashes array<long>, places array<int>"), "substrings-first")
     contents = stored(first.groupBy("mark").agg(F.count(F.lit(1)).alias("copies"), F.first(F.struct("hashes", "places")).alias("s")).select("mark", "copies", "s.hashes", "s.places"), "substrings-contents")
+    base = stored(first.select("doc_id", "mark", "n_words", "whole_sha256"), "substrings-base")
+    forget(first)
     pairs = contents.select("mark", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(F.col("x.hashes").alias("hash"), "mark", F.col("x.places").alias("place"))
-    alive = _repeated(pairs)
+    alive = stored(_repeated(pairs), "substrings-level-1")
+    copied = stored(contents.where(F.col("copies") > 1).select("mark", F.lit(True).alias("copied")), "substrings-copied")
+    forget(contents)
     one_text = marked.groupBy("mark").agg(F.first("text").alias("text"))
     few = stored(one_text.join(alive, "mark"), "substrings-texts")
     rows = "hash long, mark long, place int"
-    second = _repeated(arrow_map(few, _second_level(window), rows))
-    third = _repeated(arrow_map(few.select("mark", "text").join(second, "mark"), _third_level(window), rows))
+    second = stored(_repeated(arrow_map(few, _second_level(window), rows)), "substrings-level-2")
+    third = stored(_repeated(arrow_map(few.select("mark", "text").join(second, "mark"), _third_level(window), rows)), "substrings-level-3")
     cut = arrow_map(few.select("mark", "text").join(third, "mark"), _removal(window), "mark long, spans array<struct<first:int,behind:int>>, n_removed long, kept_sha256 string")
-    copied = contents.where(F.col("copies") > 1).select("mark", F.lit(True).alias("copied"))
-    out = first.select("doc_id", "mark", "n_words", "whole_sha256").join(copied, "mark", "left").join(cut, "mark", "left")
+    out = base.join(copied, "mark", "left").join(cut, "mark", "left")
     whole = F.col("copied") & (F.col("n_words") >= window)
     everything = F.array(F.struct(F.lit(0).alias("first"), F.col("n_words").cast("int").alias("behind")))
     nothing = F.array().cast("array<struct<first:int,behind:int>>")
