@@ -12,13 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from quillmill.functions.text import char_tokens, ngrams, word_tokens
-
-
-def _counts(grams: Column) -> Column:
-    """How often each distinct value occurs: an array of (gram, n). Sorting first keeps it linear beside the sort."""
-    return F.transform(F.array_distinct(grams), lambda g: F.struct(g.alias("gram"), F.size(F.filter(grams, lambda x: x == g)).alias("n")))
-
 
 def _plain(grams: Sequence, n: int) -> Counter:
     return Counter(tuple(grams[i : i + n]) for i in range(len(grams) - n + 1))
@@ -185,38 +178,40 @@ def rouge(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rouge1", "rouge2", "rougeL"])
 
 
-def clipped(cand: Column, ref: Column) -> Column:
-    """Matches of the candidate's grams in the reference, each at most as often as there."""
-    return F.aggregate(_counts(cand), F.lit(0), lambda acc, x: acc + F.least(x["n"], F.size(F.filter(ref, lambda y: y == x["gram"]))))
+def _unigrams(r: str, c: str) -> float:
+    ref, cand = _word_list(r), _word_list(c)
+    return _f1(_shared(_plain(cand, 1), _plain(ref, 1)), len(ref), len(cand))
 
 
-def rouge1_f1(ref: Column, cand: Column) -> Column:
-    """Unigram F1 over word tokens, without stemming, in built-in functions."""
-    r, c = word_tokens(ref), word_tokens(cand)
-    hit = clipped(c, r)
-    return F.when(hit > 0, 2 * hit / (F.size(r) + F.size(c))).otherwise(F.lit(0.0))
+#: Unigram F1 over word tokens, without stemming.
+rouge1_f1 = _by_row(_unigrams)
 
 
-def gleu_like(ref: Column, cand: Column) -> Column:
-    """Mean over the orders 1 to 4 that both have of the lesser of precision and recall, in built-in functions."""
-    r, c = word_tokens(ref), word_tokens(cand)
-    total, orders = F.lit(0.0), F.lit(0)
-    for n in range(1, 5):
-        a, b = ngrams(r, n), ngrams(c, n)
-        both = (F.size(a) > 0) & (F.size(b) > 0)
-        total = total + F.when(both, clipped(b, a) / F.greatest(F.size(a), F.size(b))).otherwise(0.0)
-        orders = orders + both.cast("int")
-    return F.when(orders > 0, total / orders).otherwise(F.lit(0.0))
-
-
-def bleu_statistics(ref: Column, cand: Column, chars: bool = False) -> dict[str, Column]:
-    """Columns whose sums make corpus BLEU: lengths, and matches and totals of each order."""
-    tokens = char_tokens if chars else word_tokens
-    r, c = tokens(ref), tokens(cand)
-    out = {"ref_len": F.size(r), "cand_len": F.size(c)}
-    for n in range(1, 5):
-        out |= {f"match{n}": clipped(ngrams(c, n), ngrams(r, n)), f"total{n}": F.greatest(F.size(c) - n + 1, F.lit(0))}
-    return out
+def _lesser(r: str, c: str) -> float:
+    ref, cand = _word_list(r), _word_list(c)
+    both = [n for n in range(1, 5) if len(ref) >= n and len(cand) >= n]
+    return sum(_shared(_plain(cand, n), _plain(ref, n)) / (max(len(ref), len(cand)) - n + 1) for n in both) / max(1, len(both))
+
+
+#: Mean, over the orders 1 to 4 that both have, of the lesser of precision and recall.
+gleu_like = _by_row(_lesser)
+
+SUMS = ("ref_len", "cand_len", *(f"{kind}{n}" for n in range(1, 5) for kind in ("match", "total")))
+
+
+def bleu_statistics(ref: Column, cand: Column, chars: bool = False) -> Column:
+    """A struct of whole numbers whose sums make corpus BLEU: lengths, and matches and totals of each order. Null texts add none."""
+    tokens = _char_list if chars else _word_list
+
+    @pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in SUMS]))
+    def run(r: pd.Series, c: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(r, c):
+            x, y = ([], []) if a is None or b is None else (tokens(a), tokens(b))
+            out.append([len(x), len(y), *(v for n in range(1, 5) for v in (_shared(_plain(y, n), _plain(x, n)), max(0, len(y) - n + 1)))])
+        return pd.DataFrame(out, columns=list(SUMS))
+
+    return run(ref, cand)
 
 
 def corpus_bleu(sums: dict[str, Column]) -> Column:

@@ -72,6 +72,11 @@ def crc_seed(text: Column, salt: int) -> Column:
     return F.pmod(F.crc32(text).bitwiseXOR(F.lit(salt).cast("long")), F.lit(1 << 31))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def char_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"(?U)\s", ""), ""), lambda c: c != "")
 
@@ -83,9 +88,12 @@ def word_tokens(text: Column) -> Column:
 
 def field_tokens(text: Column) -> Column:
     """Tokens for retrieval: [a-z0-9]+ runs; with any CJK character all characters and their neighbouring pairs."""
-    chars = char_tokens(text)
-    pairs = F.when(F.size(chars) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)))).otherwise(F.array().cast("array<string>"))
-    return F.when(text.rlike(_CJK), F.concat(chars, pairs)).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
+
+    def with_pairs(chars: Column) -> Column:
+        pairs = F.when(F.size(chars) > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.size(chars) - 1, F.lit(1))), lambda i: F.concat(F.get(chars, i - 1), F.get(chars, i)))).otherwise(F.array().cast("array<string>"))
+        return F.concat(chars, pairs)
+
+    return F.when(text.rlike(_CJK), let(char_tokens(text), with_pairs)).otherwise(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1))
 
 
 def language_aware_tokens(text: Column) -> Column:
@@ -94,13 +102,18 @@ def language_aware_tokens(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by the separator; none of fewer tokens."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), SEP))).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), SEP))).otherwise(F.array().cast("array<string>"))
+    return let(tokens, runs)
 
 
 def ngram_jaccard(a: Column, b: Column, n: int) -> Column:
     """Of the distinct n-grams: 1 if neither has any, 0 if one has none."""
-    x, y = F.array_distinct(ngrams(a, n)), F.array_distinct(ngrams(b, n))
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    def share(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+
+    return let(F.struct(F.array_distinct(ngrams(a, n)).alias("x"), F.array_distinct(ngrams(b, n)).alias("y")), share)
 
 
 # Fixed markers behind which an answer stands, in order.

@@ -284,9 +284,8 @@ def f10_text_metrics(spark, d):
 def a42_corpus_bleu(spark, d):
     """Corpus BLEU by role from summed statistics."""
     t = _turns(spark, d).withColumn("part", F.col("turn") % 2)
-    stats = M.bleu_statistics(F.col("ref"), F.col("cand"))
-    sums = t.select("part", *[c.alias(n) for n, c in stats.items()]).groupBy("part").agg(*[F.sum(n).alias(n) for n in stats])
-    return sums.select("part", M.corpus_bleu({n: F.col(n) for n in stats}).alias("bleu"))
+    sums = t.select("part", M.bleu_statistics(F.col("ref"), F.col("cand")).alias("s")).select("part", "s.*").groupBy("part").agg(*[F.sum(n).alias(n) for n in M.SUMS])
+    return sums.select("part", M.corpus_bleu({n: F.col(n) for n in M.SUMS}).alias("bleu"))
 
 
 @query(f"""WITH {CONV}, g AS (SELECT conv_id, turn, list_distinct({_words_sql('ref')}) AS a, list_distinct({_words_sql('cand')}) AS b FROM cv)
