@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import arrow_map, column, stored, texts
+from quillmill.llm.common import arrow_map, column, forget, stored, texts
 from quillmill.llm.hashing import mix, run_hashes, word_hashes
 
 #: Places of a signature (a power of 2), and bands. 32 bands of 4 miss a pair of similarity 0.8 once in twenty million.
@@ -152,7 +152,8 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
 
 
 def _salted(salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), F.col("node"))
+    """Who leads: by salt 0 the same order in all bands, so that a group has few leaders; by others each band has its own."""
+    return F.xxhash64(F.lit(salt), F.col("node"), *([F.col("band")] if salt else []))
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, share: tuple[int, int] = (80, 100), places: int = PLACES, bands: int = BANDS, leaders: int = 4) -> DataFrame:
@@ -165,12 +166,16 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
     last = F.lit((1 << 63) - 1)
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    rows = stored(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark long, n_shingles long, node long, bands array<long>"), "neardup-rows")
-    some = rows.where("n_shingles > 0")
+    described = stored(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark long, n_shingles long, node long, bands array<long>"), "neardup-described")
+    some = described.where("n_shingles > 0")
     classes = stored(some.groupBy("node").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), last)).alias("least"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "neardup-classes")
-    banded = classes.select("node", "mark", "n", F.explode("bands").alias("band"))
+    rows = stored(described.select("doc_id", "n_shingles", "node"), "neardup-rows")
+    forget(described)
+    banded = classes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    met = stored(banded.join(crowds, "band"), "neardup-bands")
+    together = stored(banded.join(crowds, "band"), "neardup-together")
+    met = stored(together.join(classes.select("node", "mark", "n"), "node"), "neardup-bands")
+    forget(together)
     # the texts that take part in any comparison, one for each class
     wanted = met.select("mark").distinct()
     held = docs.select("mark", "text").groupBy("mark").agg(F.first("text").alias("text"))
@@ -211,11 +216,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         edges, tested = edges.union(linked(fresh, "neardup-edges-1")), tested.union(more)
         members = grouped(members, edges, "neardup-round-1")
     if not members.isEmpty():
-        # in each open band: everyone outside the largest component against all of other components
+        # in each open band: everyone outside the largest component against all of other components, each pair in the
+        # first band that it shares; a pair of the similarity asked for shares two bands but once in a million
         counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"))
         main = counts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"))
-        rest = members.join(main, "band").where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), "main")
-        pairs = members.join(rest, "band").where((F.col("component") != F.col("its")) & ((F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))) & sizes_fit(F.col("n"), F.col("m"))).select(F.col("node").alias("a"), "b").distinct()
+        open_ = members.select("band", "node", "component", "n").join(classes.select("node", "bands"), "node")
+        rest = open_.join(main, "band").where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), "main", F.col("bands").alias("others"))
+        shared = F.zip_with("bands", "others", lambda x, y: x == y)
+        first_shared = F.get(F.col("bands"), (F.array_position(shared, True) - 1).cast("int")) == F.col("band")
+        twice = F.size(F.filter(shared, lambda x: x)) >= 2
+        each_once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
+        pairs = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & sizes_fit(F.col("n"), F.col("m")) & first_shared & twice).select(F.col("node").alias("a"), "b").distinct()
         done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         edges = edges.union(linked(stored(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))
     found = components(edges, "neardup-final")
