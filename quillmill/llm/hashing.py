@@ -51,11 +51,11 @@ def word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """For each place the hash of the n words from there; n - 1 places fewer than words. Texts' ends are the caller's."""
-    if n == 1:
-        return words
+    if n == 1 or len(words) < n:
+        return words if n == 1 else words[:0]
     half = n // 2
     part = run_hashes(words, half)
     power = _RUN
     with np.errstate(over="ignore"):
         joined = part[: len(part) - half] * powers(power, half + 1)[half] + part[half:]
-        return joined if n % 2 == 0 else joined[: len(joined) - 1] * power + words[n - 1 :] if len(words) >= n else words[:0]
+        return joined if n % 2 == 0 else joined[: len(joined) - 1] * power + words[n - 1 :]
