@@ -6,9 +6,10 @@ that of independent minima. Here all elements of all texts go through the ranks
 rank 1 and so on, and a text leaves as soon as no later rank can lower any of its places (early stopping).
 
 Texts with equal shingle sets are one class. Classes that share a band meet in rounds: each is held against the band's
-leader, not against all others; then, in bands that still hold more than one component, against further leaders; and
-what is left of these bands against every member of another component. So a large group costs a few comparisons a
-member, and no pair of a band stays unexamined unless both are known to be connected.
+leader, not against all others; then, in bands that still hold more than one component, against further leaders. What
+these bands still leave apart is compared where an upper bound of the overlap, from the shingles that few texts hold,
+allows the similarity asked for. So a large group costs a few comparisons a member, and no pair of a band that could be
+similar stays unexamined unless both are known to be connected.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quillmill.llm.hashing import mix, run_hashes, word_hashes
 
 #: Places of a signature (a power of 2), and bands. 32 bands of 4 miss a pair of similarity 0.8 once in twenty million.
 PLACES, BANDS = 128, 32
+#: Open texts that hold a shingle at most for it to lead to its pairs: it decides the cost, not the result.
+RARE = 64
 _FRACTION = 40
 
 
@@ -102,6 +105,14 @@ def _describe(size: int, places: int, bands: int):
     return part
 
 
+def _shingles(size: int):
+    def part(batch: pa.RecordBatch) -> dict:
+        values, offsets = shingle_sets(texts(batch), size)
+        return {"node": np.repeat(column(batch, "node").to_numpy(), np.diff(offsets)), "shingle": values.view(np.int64)}
+
+    return part
+
+
 def _verify(size: int, share: tuple[int, int]):
     """Rows (a, b) of those (a, b, text, other) whose sets are similar enough. Others mostly come in runs: their sets are remembered."""
     least, of = share
@@ -156,7 +167,7 @@ def _salted(salt: int) -> Column:
     return F.xxhash64(F.lit(salt), F.col("node"), *([F.col("band")] if salt else []))
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, share: tuple[int, int] = (80, 100), places: int = PLACES, bands: int = BANDS, leaders: int = 4) -> DataFrame:
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, share: tuple[int, int] = (80, 100), places: int = PLACES, bands: int = BANDS, leaders: int = 4, rare: int = RARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row.
 
     Texts are linked if share[1] * intersection >= share[0] * union of their sets of shingles of ``size`` words, A-Z
@@ -216,17 +227,39 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         edges, tested = edges.union(linked(fresh, "neardup-edges-1")), tested.union(more)
         members = grouped(members, edges, "neardup-round-1")
     if not members.isEmpty():
+        # An overlap is at most the lesser number of common shingles, those of more than ``rare`` open texts, plus the
+        # rare ones that both hold. Rare ones lead to their pairs through the shingle; a pair without any needs enough
+        # common ones on either side, and is looked for in the bands. Neither bound loses a pair.
+        nodes = stored(members.select("node", "component", "n").distinct(), "neardup-open-nodes")
+        shingles = stored(arrow_map(held.join(nodes.select("node"), "node", "left_semi"), _shingles(size), "node long, shingle long"), "neardup-shingles")
+        holders = stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).where(F.col("holders") <= rare), "neardup-holders")
+        several = stored(shingles.join(holders.where("holders > 1").select("shingle"), "shingle"), "neardup-rare")
+        forget(shingles)
+        scarce = holders.where("holders = 1").select("node").union(several.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("scarce"))
+        known = stored(nodes.join(scarce, "node", "left").select("node", "component", "n", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common")), "neardup-common")
+
+        def reaches(overlap: Column, n: Column, other: Column) -> Column:
+            return (share[0] + share[1]) * overlap >= share[0] * (n + other)
+
+        mine = several.join(known, "node")
+        theirs = mine.select("shingle", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("common").alias("more"))
+        met_rare = mine.join(theirs, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("its")) & sizes_fit(F.col("n"), F.col("m")))
+        shared_rare = met_rare.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("both"), F.first(F.least("common", "more")).alias("rest"), F.first("n").alias("n"), F.first("m").alias("m"))
+        by_rare = shared_rare.where(reaches(F.col("both") + F.col("rest"), F.col("n"), F.col("m"))).select("a", "b")
         # in each open band: everyone outside the largest component against all of other components, each pair in the
         # first band that it shares; a pair of the similarity asked for shares two bands but once in a million
-        counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"))
-        main = counts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"))
-        open_ = members.select("band", "node", "component", "n").join(classes.select("node", "bands"), "node")
-        rest = open_.join(main, "band").where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), "main", F.col("bands").alias("others"))
+        counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"), F.min("n").alias("low"))
+        main = counts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"), F.min("low").alias("low"))
+        enough = members.select("band", "node").join(known, "node").join(main, "band").where(reaches(F.col("common"), F.col("n"), F.col("low")) & (share[1] * F.col("common") >= share[0] * F.col("n")))
+        open_ = stored(enough.join(classes.select("node", "bands"), "node"), "neardup-enough")
+        rest = open_.where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("common").alias("more"), F.col("bands").alias("others"))
         shared = F.zip_with("bands", "others", lambda x, y: x == y)
         first_shared = F.get(F.col("bands"), (F.array_position(shared, True) - 1).cast("int")) == F.col("band")
         twice = F.size(F.filter(shared, lambda x: x)) >= 2
         each_once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
-        pairs = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & sizes_fit(F.col("n"), F.col("m")) & first_shared & twice).select(F.col("node").alias("a"), "b").distinct()
+        fits = sizes_fit(F.col("n"), F.col("m")) & reaches(F.least("common", "more"), F.col("n"), F.col("m"))
+        in_bands = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & fits & first_shared & twice).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        pairs = by_rare.union(in_bands).distinct()
         done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         edges = edges.union(linked(stored(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))
     found = components(edges, "neardup-final")
