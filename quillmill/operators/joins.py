@@ -94,6 +94,13 @@ def keep_fullest(runs: DataFrame, by: list[str], n: str, path: str) -> DataFrame
     return runs.groupBy(*by).agg(F.min_by(F.struct(*rest), F.struct(-F.col(n), F.col(path))).alias("r")).select(*by, "r.*")
 
 
+def shared_keys(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """The rows whose key every group has."""
+    n = rows.agg(F.count_distinct(group).alias("__n"))
+    each = rows.groupBy(key).agg(F.count_distinct(group).alias("__of"))
+    return rows.join(each.crossJoin(F.broadcast(n)).where("__of = __n").select(key), key, "left_semi")
+
+
 def modal_signature(rows: DataFrame, group: str, key: str, value: str) -> DataFrame:
     """group, signature, modal: a hash over the values in order of the keys, and whether it is the most frequent one.
 

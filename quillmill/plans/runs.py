@@ -246,9 +246,9 @@ def t12_temperature(spark, d):
 
 @query(f"""WITH {ARMS}, s AS (SELECT arm, string_agg(sha256(CAST(CAST(round(metric * 100) AS BIGINT) AS VARCHAR)), ',' ORDER BY sample_id) AS l, count(*) AS n FROM arms WHERE sample_id <= 50 GROUP BY arm) SELECT arm, sha256(l) AS signature FROM s""")
 def a36_signature(spark, d):
-    """Ordered content signatures."""
-    x = arms(spark, d).where("sample_id <= 50").withColumn("v", F.round(F.col("metric") * 100).cast("long"))
-    return J.modal_signature(x, "arm", "sample_id", "v").select("arm", "signature")
+    """Ordered content signatures over all samples that every arm has."""
+    x = arms(spark, d).withColumn("v", F.round(F.col("metric") * 100).cast("long"))
+    return J.modal_signature(J.shared_keys(x, "arm", "sample_id"), "arm", "sample_id", "v").select("arm", "signature")
 
 
 @query(f"""WITH {ARMS}, b AS (SELECT arm AS unit, min(sample_id) // 100 AS birth_batch FROM arms GROUP BY arm), r AS (SELECT arm AS unit, sample_id, sample_id // 100 AS batch FROM arms)

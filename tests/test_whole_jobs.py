@@ -51,3 +51,17 @@ ALL_VECTORS = (("FROM embeddings WHERE vec_id % 20 <> 0", "FROM embeddings"), ("
 def test_dense_and_hybrid_equal_sql_over_all_rows(spark):
     equal_to_sql(spark, "f35_dense", *ALL_VECTORS)
     equal_to_sql(spark, "r6_hybrid", *ALL_VECTORS)
+
+
+SHARED = ("FROM arms WHERE sample_id <= 50 GROUP BY arm)", "FROM arms WHERE sample_id IN (SELECT sample_id FROM arms GROUP BY sample_id HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM arms)) GROUP BY arm)")
+
+
+def test_signatures_cover_all_shared_samples(spark):
+    equal_to_sql(spark, "a36_signature", SHARED)
+
+
+def test_signatures_differ_by_a_late_sample(spark, tmp_path):
+    items = [(arm, part, 100.0 + part + (arm == "N" and part == 90), 0.0) for arm in "ANR" for part in range(1, 100)] + [("A", 100, 5.0, 0.0)]
+    spark.createDataFrame(items, "l_returnflag string, l_partkey long, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    s = {r.arm: r.signature for r in plans.QUERIES["a36_signature"](spark, str(tmp_path)).collect()}
+    assert s["A"] == s["R"] != s["N"]
