@@ -264,9 +264,9 @@ def j21_born_before(spark, d):
 d AS (SELECT a.grp, a.idx AS i, b.idx AS j, CASE WHEN a.o_totalprice > b.o_totalprice THEN a.idx ELSE b.idx END AS won FROM f a JOIN f b ON a.grp = b.grp AND a.idx < b.idx)
 SELECT grp AS "group", arg_max(idx, o_totalprice) AS winner FROM f GROUP BY grp HAVING count(*) > 1""")
 def w11_copeland(spark, d):
-    """Round robin of a customer's first four orders; by a total order the winner beats all."""
+    """Round robin of all orders of a customer; by a total order the winner beats all."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    c = table(spark, d, "orders").select(F.col("o_custkey").alias("group"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "o_totalprice").where("idx < 4")
+    c = table(spark, d, "orders").select(F.col("o_custkey").alias("group"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "o_totalprice")
     p = J.all_pairs(c, "group", "idx", "o_totalprice")
     return G.copeland(p.select("group", "i", "j", F.when(F.col("o_totalprice_i") > F.col("o_totalprice_j"), F.col("i")).otherwise(F.col("j")).alias("won")))
 

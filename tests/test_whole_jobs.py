@@ -65,3 +65,8 @@ def test_signatures_differ_by_a_late_sample(spark, tmp_path):
     spark.createDataFrame(items, "l_returnflag string, l_partkey long, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
     s = {r.arm: r.signature for r in plans.QUERIES["a36_signature"](spark, str(tmp_path)).collect()}
     assert s["A"] == s["R"] != s["N"]
+
+
+def test_round_robin_takes_all_orders(spark):
+    equal_to_sql(spark, "w11_copeland", ("FROM c WHERE idx < 4)", "FROM c)"))
+    assert any(r.winner > 3 for r in plans.QUERIES["w11_copeland"](spark, SF).collect())
