@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 
 from quillmill import plans
+from quillmill.operators.graph import pick
 from test_queries import SF, rows
 
 
@@ -70,3 +71,12 @@ def test_signatures_differ_by_a_late_sample(spark, tmp_path):
 def test_round_robin_takes_all_orders(spark):
     equal_to_sql(spark, "w11_copeland", ("FROM c WHERE idx < 4)", "FROM c)"))
     assert any(r.winner > 3 for r in plans.QUERIES["w11_copeland"](spark, SF).collect())
+
+
+def test_self_consistency_takes_all_turns(spark):
+    turns = {}
+    for conv, turn, text in read("conversations", "conv_id, turn, text", "conv_id, turn"):
+        turns.setdefault(conv, []).append((turn, text))
+    want = {conv: t[pick([x or "" for _, x in t])] for conv, t in turns.items()}
+    got = {r.conv_id: (r.turn, r.text) for r in plans.QUERIES["r10_self_consistent"](spark, SF).collect()}
+    assert got == want and any(turn > 3 for turn, _ in got.values())
