@@ -44,7 +44,11 @@ def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFra
 
 def auc(df: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
     """Per group: area under the curve by ranks, ties half; null with one class only. Only counts by distinct score are sorted."""
-    n = df.groupBy(*by, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
+    return auc_of_counts(df.groupBy(*by, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg")), by, score)
+
+
+def auc_of_counts(n: DataFrame, by: list[str], score: str) -> DataFrame:
+    """The area under the curve of a table (by..., score, pos, neg)."""
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     s = n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
@@ -110,6 +114,19 @@ def clustered_intervals(rows: DataFrame, model: str, cluster: str, n_resamples:
     return q.select(model, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"))
 
 
+def clustered_auc(rows: DataFrame, model: str, cluster: str, score: str, truth: str, n_resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """model, interval of the area under the curve over resampled clusters, valid: the replicates with both classes, which alone count.
+
+    All models see the same draws from the clusters of all rows. What is resampled are counts by cluster and score.
+    """
+    placed = numbered(rows.select(cluster).distinct().withColumn("__all", F.lit(1)), ["__all"], cluster)
+    drawn = replicates(placed.groupBy("__all").agg(F.max("n").alias("n")), ["__all"], n_resamples, seed).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
+    counts = rows.groupBy(model, cluster, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg")).join(placed.select(cluster, "place"), cluster)
+    each = counts.join(drawn, "place").groupBy(model, "replicate", score).agg(F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    found = auc_of_counts(each, [model, "replicate"], score).groupBy(model).agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("auc").alias("valid"))
+    return found.select(model, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), "valid")
+
+
 def paired_model_differences(rows: DataFrame, model: str, cluster: str, n_resamples: int, seed: int) -> DataFrame:
     """first, second, mean difference and interval of accuracy between all pairs of models, over shared draws."""
     sums = rows.groupBy(model, cluster).agg(F.sum("correct").alias("correct"), F.count(F.lit(1)).alias("rows"))

@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 
 from quillmill import plans
+from quillmill.operators import stats as St
 from quillmill.operators.graph import pick
 from test_queries import SF, rows
 
@@ -80,3 +81,23 @@ def test_self_consistency_takes_all_turns(spark):
     want = {conv: t[pick([x or "" for _, x in t])] for conv, t in turns.items()}
     got = {r.conv_id: (r.turn, r.text) for r in plans.QUERIES["r10_self_consistent"](spark, SF).collect()}
     assert got == want and any(turn > 3 for turn, _ in got.values())
+
+
+def test_auc_of_resampled_clusters(spark):
+    data = [("m", c, s, y) for c, s, y in (("a", 0.1, 0), ("a", 0.4, 0), ("b", 0.4, 1), ("b", 0.3, 0), ("c", 0.9, 1), ("c", 0.4, 1))]
+    data += [("k", "a", 0.2, 1), ("k", "d", 0.2, 0), ("k", "d", 0.7, 1)]
+    df = spark.createDataFrame(data, "model string, cluster string, p double, y int")
+    draws = {}
+    for r in St.replicates(spark.createDataFrame([(1, 4)], "g int, n long"), ["g"], 80, 3).collect():
+        draws.setdefault(r.replicate, []).append("abcd"[r.place])
+    want = {}
+    for model in "mk":
+        found = []
+        for drawn in draws.values():
+            mine = [(s, y) for c in drawn for m, c2, s, y in data if m == model and c2 == c]
+            pos, neg = ([s for s, y in mine if y == k] for k in (1, 0))
+            if pos and neg:
+                found.append(sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)))
+        want[model] = (*np.quantile(found, [0.025, 0.975]).round(9), len(found))
+    got = {r.model: (round(r.ci_low, 9), round(r.ci_high, 9), r.valid) for r in St.clustered_auc(df, "model", "cluster", "p", "y", 80, 3).collect()}
+    assert got == want and all(0 < n < 80 for *_, n in got.values())
