@@ -201,7 +201,7 @@ def t1_paired_bootstrap(spark, d):
     x = arms(spark, d)
     a, b = x.where("arm = 'A'").select("sample_id", F.col("metric").alias("a")), x.where("arm = 'R'").select("sample_id", F.col("metric").alias("b"))
     pairs = a.join(b, "sample_id").withColumn("grp", F.col("sample_id") % 4)
-    return St.paired_bootstrap(pairs, ["grp"], "a", "b", "sample_id", 100, 0)
+    return St.paired_bootstrap(pairs, ["grp"], "a", "b", "sample_id", 2000, 0)
 
 
 @query(f"""WITH {DECISIONS}, c AS (SELECT model, cluster, CAST(sum(CAST(decision = label AS INT)) AS BIGINT) AS correct, count(*) AS rows_ FROM dec GROUP BY 1, 2),
@@ -212,14 +212,14 @@ SELECT model, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_h
 def t2_clustered_bootstrap(spark, d):
     """Accuracy intervals over resampled clusters, all models on the same draws."""
     rows = decisions(spark, d).select("model", "cluster", (F.col("decision") == F.col("label")).cast("long").alias("correct"))
-    return St.clustered_intervals(rows, "model", "cluster", 60, 5)
+    return St.clustered_intervals(rows, "model", "cluster", 2000, 5)
 
 
 @query()
 def t3_model_differences(spark, d):
     """Paired differences between models over shared draws."""
     rows = decisions(spark, d).select("model", "cluster", (F.col("decision") == F.col("label")).cast("long").alias("correct"))
-    return St.paired_model_differences(rows, "model", "cluster", 60, 5)
+    return St.paired_model_differences(rows, "model", "cluster", 2000, 5)
 
 
 @query(f"""WITH {ARMS}, t AS (SELECT arm, sample_id % 10 AS test, (CAST(round(avg(metric) * 100) AS BIGINT) % 100) / 1000.0 AS p FROM arms GROUP BY 1, 2),

@@ -2,10 +2,12 @@
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillmill import plans
 from quillmill.operators import stats as St
 from quillmill.operators.graph import pick
+from quillmill.plans.bindings import decisions
 from test_queries import SF, rows
 
 
@@ -101,3 +103,15 @@ def test_auc_of_resampled_clusters(spark):
         want[model] = (*np.quantile(found, [0.025, 0.975]).round(9), len(found))
     got = {r.model: (round(r.ci_low, 9), round(r.ci_high, 9), r.valid) for r in St.clustered_auc(df, "model", "cluster", "p", "y", 80, 3).collect()}
     assert got == want and all(0 < n < 80 for *_, n in got.values())
+
+
+def test_bootstraps_take_2000_resamples(spark):
+    equal_to_sql(spark, "t1_paired_bootstrap", ("range(100) ", "range(2000) "), (" END) / 100)", " END) / 2000)"), ("s[2] AS", "s[50] AS"), ("s[98] AS", "s[1951] AS"))
+    equal_to_sql(spark, "t2_clustered_bootstrap", ("range(60) ", "range(2000) "))
+
+
+def test_model_differences_take_2000_resamples(spark):
+    rows_ = decisions(spark, SF).select("model", "cluster", (F.col("decision") == F.col("label")).cast("long").alias("correct"))
+    want = St.paired_model_differences(rows_, "model", "cluster", 2000, 5).toPandas()
+    got = plans.QUERIES["t3_model_differences"](spark, SF).toPandas()
+    assert rows(got.round(9)) == rows(want.round(9)) != rows(St.paired_model_differences(rows_, "model", "cluster", 60, 5).toPandas().round(9))
