@@ -247,7 +247,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         shared_rare = met_rare.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("both"), F.first(F.least("common", "more")).alias("rest"), F.first("n").alias("n"), F.first("m").alias("m"))
         by_rare = shared_rare.where(reaches(F.col("both") + F.col("rest"), F.col("n"), F.col("m"))).select("a", "b")
         # in each open band: everyone outside the largest component against all of other components, each pair in the
-        # first band that it shares; a pair of the similarity asked for shares two bands but once in a million
+        # first band that it shares
         counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"), F.min("n").alias("low"))
         main = counts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"), F.min("low").alias("low"))
         enough = members.select("band", "node").join(known, "node").join(main, "band").where(reaches(F.col("common"), F.col("n"), F.col("low")) & (share[1] * F.col("common") >= share[0] * F.col("n")))
@@ -255,10 +255,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         rest = open_.where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("common").alias("more"), F.col("bands").alias("others"))
         shared = F.zip_with("bands", "others", lambda x, y: x == y)
         first_shared = F.get(F.col("bands"), (F.array_position(shared, True) - 1).cast("int")) == F.col("band")
-        twice = F.size(F.filter(shared, lambda x: x)) >= 2
         each_once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
         fits = sizes_fit(F.col("n"), F.col("m")) & reaches(F.least("common", "more"), F.col("n"), F.col("m"))
-        in_bands = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & fits & first_shared & twice).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        in_bands = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & fits & first_shared).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
         pairs = by_rare.union(in_bands).distinct()
         done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         edges = edges.union(linked(stored(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))

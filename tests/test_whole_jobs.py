@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill import plans
+from quillmill.llm import neardup
 from quillmill.operators import stats as St
 from quillmill.operators.graph import pick
 from quillmill.plans.bindings import decisions
@@ -115,3 +116,12 @@ def test_model_differences_take_2000_resamples(spark):
     want = St.paired_model_differences(rows_, "model", "cluster", 2000, 5).toPandas()
     got = plans.QUERIES["t3_model_differences"](spark, SF).toPandas()
     assert rows(got.round(9)) == rows(want.round(9)) != rows(St.paired_model_differences(rows_, "model", "cluster", 60, 5).toPandas().round(9))
+
+
+def test_last_round_takes_pairs_of_one_shared_band(spark):
+    core = [f"c5x{i}" for i in range(8)]  # the least shingle is one of these in all texts
+    texts = [" ".join([*core, *(f"f{k}x{i}" for i in range(3))]) for k in range(60)] + [" ".join([*core, "p", "q", "r", x]) for x in "st"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # a signature of one place in one band: a pair can share one band at most, and none of the leaders is like it
+    got = {r.doc_id: r.component_id for r in neardup.link(docs, places=1, bands=1, leaders=2, rare=0).collect()}
+    assert got[60] == got[61] == 60 and all(got[k] == k for k in range(60))
