@@ -37,7 +37,8 @@ BLOCK = 1024
 def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, sample_chars: int = 400, dict_bytes: int = 1 << 15, max_langs: int = 400, level: int = 6) -> Dictionaries:
     """Dictionaries from a bounded sample of the labelled rows: the ``per_lang`` rows of each language whose ids hash lowest.
 
-    Of each sampled text the first ``sample_chars`` characters serve, equal ones once, up to ``dict_bytes`` a language.
+    Of each sampled text a piece of ``sample_chars`` characters serves, at a place that the id's hash chooses in the whole
+    text, equal pieces once. If a language's pieces hold more than ``dict_bytes``, the longest are cut until all fit.
     The bounds are parameters; what they bound is the driver's and the dictionaries' size, and not what is classified.
     Rows with a null language or text are no sample. No labelled row at all gives no language. More than ``max_langs``
     languages are an error.
@@ -51,13 +52,25 @@ def fit(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "t
     if not ids:
         return Dictionaries((), (), level)
     few = df.sparkSession.createDataFrame(ids, f"doc_id {df.schema[id_col].dataType.simpleString()}, lang string")
-    texts = df.where(train).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, sample_chars).alias("text")).join(F.broadcast(few), ["doc_id", "lang"], "left_semi")
-    found: dict[str, set[bytes]] = {}
-    for r in texts.collect():
-        found.setdefault(r.lang, set()).add((r.text or "").lower().encode())
+    start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit("piece")), F.greatest(F.length(text_col) - sample_chars + 1, F.lit(1))).cast("int")
+    texts = df.where(train & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("rank"), F.col(text_col).substr(start, F.lit(sample_chars)).alias("text")).join(F.broadcast(few), ["doc_id", "lang"], "left_semi")
+    found: dict[str, dict[bytes, None]] = {}
+    for r in sorted(texts.collect(), key=lambda r: (r.rank, r.doc_id, r.text)):
+        found.setdefault(r.lang, {})[r.text.lower().encode()] = None
     rows = {r.lang: r["count"] for r in labelled.groupBy("lang").count().where(F.col("lang").isin(sorted(found))).collect()}
     names = sorted(found, key=lambda x: (-rows[x], x))
-    return Dictionaries(tuple(names), tuple(b"\n".join(sorted(found[x]))[:dict_bytes] for x in names), level)
+    return Dictionaries(tuple(names), tuple(_joined(list(found[x]), dict_bytes) for x in names), level)
+
+
+def _joined(pieces: list[bytes], room: int) -> bytes:
+    """All pieces in their order, a line each; the longest are cut to the one length at which all fit."""
+    left, most = room, room
+    for i, n in enumerate(sorted(map(len, pieces))):
+        if n + 1 > left // (len(pieces) - i):
+            most = max(0, left // (len(pieces) - i) - 1)
+            break
+        left -= n + 1
+    return b"\n".join(p[:most] for p in pieces)[:room]
 
 
 @lru_cache(maxsize=4)

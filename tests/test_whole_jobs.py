@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill import plans
-from quillmill.llm import neardup
+from quillmill.llm import langid, neardup
 from quillmill.operators import stats as St
 from quillmill.operators.graph import pick
 from quillmill.plans.bindings import decisions
@@ -125,3 +125,11 @@ def test_last_round_takes_pairs_of_one_shared_band(spark):
     # a signature of one place in one band: a pair can share one band at most, and none of the leaders is like it
     got = {r.doc_id: r.component_id for r in neardup.link(docs, places=1, bands=1, leaders=2, rare=0).collect()}
     assert got[60] == got[61] == 60 and all(got[k] == k for k in range(60))
+
+
+def test_all_sampled_texts_serve_in_the_dictionary(spark):
+    docs = spark.createDataFrame([(i, "a" * 900 + f" t{i} " * 200, "x") for i in range(100)], "doc_id long, text string, lang string")
+    content = langid.fit(docs, F.lit(True), dict_bytes=8000).content[0]
+    assert len(content) <= 8000 and content.count(b"\n") >= 60
+    assert sum(f" t{i} ".encode() in content for i in range(100)) > 30
+    assert langid._joined([b"abcdef", b"z", b"ghijkl"], 11) == b"abc\nz\nghi"
