@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -24,10 +25,23 @@ def remainder(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % n
 
 
+def row_mark(id_col: str, text_col: str) -> Column:
+    """What tells a document apart: its id, of any type, and its text's hash. Repeated rows share it."""
+    return F.concat_ws(":", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.hex(F.xxhash64(F.col(text_col).isNull(), F.col(text_col))))
+
+
+def digest(text: Column) -> Column:
+    """128 bits of a text, as binary."""
+    return F.unhex(F.md5(text))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or the warehouse where it is unset (one machine)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    """The folder that all executors see: spark.checkpoint.dir. On one machine the warehouse does where it is unset."""
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", ""):
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

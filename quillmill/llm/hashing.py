@@ -7,7 +7,7 @@ import numpy as np
 #: What parts words: the ASCII white space of [\x09-\x0D\x20].
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _RUN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -24,13 +24,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = powers(_BASE, 256)
-
-
 def word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word of all texts in turn, and the place of each text's first word (with the end behind the last).
 
-    fold: A-Z count as a-z.
+    fold: A-Z count as a-z. A word's hash is the sum of one random value for each (byte, place): sums of powers would let
+    words of a regular build, such as a Thue-Morse word and its complement, meet.
     """
     raw = b"\n".join([*texts, b""])
     buf = np.frombuffer(raw.lower() if fold else raw, np.uint8)
@@ -44,11 +42,31 @@ def word_hashes(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]
     sizes = behind - first
     begin = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)
-    table = _POWERS if sizes.max() <= len(_POWERS) else powers(_BASE, int(sizes.max()))
-    value = np.add.reduceat((buf[solid].astype(np.uint64) + np.uint64(1)) * table[place], begin)
+    value = np.add.reduceat(_letters(buf[solid], place, int(sizes.max())), begin)
     return mix(value + sizes.astype(np.uint64) * _RUN), offsets
 
 
+#: Places of a word whose values are looked up; those of later letters are worked out.
+_NEAR = 64
+
+
+def _values(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return mix((place.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64)) * _PLACE + _RUN)
+
+
+_TABLE = _values(np.tile(np.arange(256), _NEAR), np.repeat(np.arange(_NEAR), 256))
+
+
+def _letters(byte: np.ndarray, place: np.ndarray, longest: int) -> np.ndarray:
+    """The random value of each byte at its place in its word."""
+    if longest <= _NEAR:
+        return _TABLE[(place << 8) | byte]
+    out = _TABLE[(np.minimum(place, _NEAR - 1) << 8) | byte]
+    far = np.flatnonzero(place >= _NEAR)
+    out[far] = _values(byte[far], place[far])
+    return out
+
+
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """For each place the hash of the n words from there; n - 1 places fewer than words. Texts' ends are the caller's."""
     if n == 1 or len(words) < n:
