@@ -2,8 +2,9 @@
 
 A benchmark item's windows go into a table keyed by the hash of a pair of neighbouring words, the anchor: the pair that
 is longest in letters, so that few other texts hold it. Documents' words are exploded next to their array; a pair that
-hits the table is verified by comparing the whole window. The table is broadcast while its rows are few enough, and
-joined by a shuffle of the documents' pairs beyond that.
+hits the table is verified by comparing the whole window. The table is broadcast while its bytes are few enough. Beyond
+that the documents' pairs are shuffled, each with its document's mark and place alone, and the texts are fetched again for
+those documents that a pair led to.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import row_mark
+
 #: Words in a window.
 WINDOW = 10
-#: Benchmark windows up to which the table is broadcast: some 200 bytes each.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which the table of benchmark windows is broadcast, with all item ids of each.
+BROADCAST_BYTES = 64 << 20
 
 #: What parts words: ASCII other than letters and digits.
 PART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,29 +47,39 @@ def ngrams(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", wi
     return grams.withColumn("lead", -best["back"]).withColumn("anchor", F.when(F.col("size") > 1, _pair(F.col("gram"), F.col("lead"))).otherwise(F.xxhash64(F.get("gram", F.lit(0))))).select("anchor", "lead", "size", "gram", "items")
 
 
-def occurrences(docs: DataFrame, grams: DataFrame, keys: list[str], text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """keys, start (of the window, from 0), size and items: every place of a document where a window stands, verified word by word."""
-    n = grams.count()
-    table = F.broadcast(grams) if n <= broadcast_rows else grams
-    lone = n <= broadcast_rows and not grams.where(F.col("size") == 1).isEmpty() or n > broadcast_rows
-    tokens = docs.select(*keys, words(F.col(text_col)).alias("w"))
-    placed = tokens.select(*keys, "w", F.posexplode("w").alias("at", "word"))
+def _bytes(grams: DataFrame) -> int:
+    """About what the table takes in memory: words with their offsets, ids, the rest of the row."""
+    words_ = F.aggregate("gram", F.lit(0).cast("long"), lambda n, w: n + F.octet_length(w) + 24)
+    ids = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.octet_length(x.cast("string")), F.lit(0)) + 24)
+    return grams.agg(F.sum(words_ + ids + 64)).first()[0] or 0
+
+
+def occurrences(docs: DataFrame, grams: DataFrame, mark: str, text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """mark, start (of the window, from 0), size and items: every place of a document where a window stands, verified word by word."""
+    shipped = _bytes(grams) <= broadcast_bytes
+    tokens = docs.select(mark, words(F.col(text_col)).alias("w"))
+    placed = tokens.select(mark, "w", F.posexplode("w").alias("at", "word"))
     pair = _pair(F.col("w"), F.col("at"))
+    lone = not shipped or not grams.where(F.col("size") == 1).isEmpty()
     hashed = placed.withColumn("anchor", F.explode(F.array(pair, F.xxhash64("word"))) if lone else pair)
     start = F.col("at") - F.col("lead")
-    found = hashed.join(table, "anchor").where((start >= 0) & (F.slice(F.col("w"), F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("gram")))
-    return found.select(*keys, start.alias("start"), "size", "items")
+    if shipped:
+        met = hashed.join(F.broadcast(grams), "anchor").where(start >= 0).withColumn("start", start)
+    else:
+        led = hashed.select(mark, "at", "anchor").join(grams, "anchor").where(start >= 0).select(mark, start.alias("start"), "size", "gram", "items")
+        met = led.join(docs.join(led.select(mark).distinct(), mark, "left_semi").dropDuplicates([mark]).select(mark, words(F.col(text_col)).alias("w")), mark)
+    return met.where(F.slice(F.col("w"), F.col("start") + 1, F.col("size")) == F.col("gram")).select(mark, "start", "size", "items")
 
 
-def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids, sorted as strings), places (hit words from 0, sorted), one row for each document row.
 
     A word is hit if any occurrence of a window covers it. A document is known by its id and text: repeated rows get the
-    same values, rows that share an id but not the text their own. Null and empty texts have no words and no hits. An
-    empty benchmark hits nothing.
+    same values, rows that share an id but not the text their own. Ids may be of any type and null. Null and empty texts have
+    no words and no hits. An empty benchmark hits nothing; empty documents give no rows.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
-    hits = occurrences(keyed, ngrams(bench, window=window), ["mark"], broadcast_rows=broadcast_rows)
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", row_mark("doc_id", "text"))
+    hits = occurrences(keyed, ngrams(bench, window=window), "mark", broadcast_bytes=broadcast_bytes)
     spans = F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
     per = hits.groupBy("mark").agg(F.array_sort(F.array_distinct(spans)).alias("places"), F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda x: x.cast("string")))).alias("items"))
     base = keyed.select("doc_id", "mark", F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -75,15 +88,16 @@ def report(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return out.select("doc_id", "n_words", F.size(places).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), places.alias("places"))
 
 
-def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_share: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_share: float = 0.5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs without what the benchmark holds: documents hit in over ``max_share`` of their words go, of the others the hit spans.
 
     A row without hits passes as it is, in all columns. A removed span takes its words and what parts them from the word
-    before; what stands before the first and behind the last word stays. ``n_chars``, if there, is counted anew.
+    before; what stands before the first and behind the last word stays. ``n_chars``, if there, is counted anew. Repeated
+    rows stay and fare alike; null and empty texts pass; ids may be of any type and null.
     """
     order = docs.columns
-    keyed = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(id_col), F.lit(-1)), F.col(text_col)))
-    hits = occurrences(keyed.select("__mark", F.col(text_col).alias("text")), ngrams(bench, window=window), ["__mark"], broadcast_rows=broadcast_rows)
+    keyed = docs.withColumn("__mark", row_mark(id_col, text_col))
+    hits = occurrences(keyed.select("__mark", F.col(text_col).alias("text")), ngrams(bench, window=window), "__mark", broadcast_bytes=broadcast_bytes)
     per = hits.groupBy("__mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1))))).alias("__places"))
     joined = keyed.join(per, "__mark", "left")
     text = F.col(text_col)
