@@ -10,12 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import row_mark, stored
+
 # Fixed patterns of the candidates.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RANDOM = r"[A-Za-z0-9+/_-]{24,}"
+SPANS = "array<struct<start:int,end:int,place:int,kind:string,value:string>>"
 KINDS = ("assign", "access", "hex", "random")
 #: Owners from which on a value counts as a copied example.
 WIDE_OWNERS = 3
@@ -27,11 +30,10 @@ def _matches(text: Column, pattern: str, kind: str, quick: Column, value: str |
     Splitting by the pattern gives what stands between the matches; with the matches' own lengths that gives places.
     quick is a cheap condition without which there is no match.
     """
-    span = "struct<start:int,end:int,place:int,kind:string,value:string>"
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     between = F.split(text, pattern)
     pairs = F.arrays_zip(F.transform(F.slice(between, 1, F.size(found)), lambda x: F.length(x)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["at"] + x["gap"]
@@ -40,7 +42,7 @@ def _matches(text: Column, pattern: str, kind: str, quick: Column, value: str |
         new = F.struct(at.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("place"), F.lit(kind).alias("kind"), held.alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(held) >= least, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(quick, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{span}>"))
+    return F.when(quick, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPANS))
 
 
 def candidates(text: Column) -> Column:
@@ -72,27 +74,32 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS) -> tuple[DataFrame, DataFrame]:
-    """The rows with their candidates, and for each document with any (mark, verdicts): hashes of values that look live.
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
+    """mark, spans, live, of each document with candidates, once: live are hashes of the values that look live.
 
-    A document is known by its id and text, so repeated rows share their verdict.
+    A document is known by its id and text, so repeated rows share their verdict. Texts are searched once: the rows with
+    candidates, few as a rule, are stored. A value that one owner repeats in many documents is counted there in parts.
     """
-    keyed = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(id_col), F.lit(-1)), F.col(text_col))).withColumn("__spans", candidates(F.col(text_col)))
-    few = keyed.where(F.size("__spans") > 0).select(F.col("__mark").alias("mark"), F.col(id_col).alias("doc_id"), F.col(owner_col).alias("source"), F.col("__spans").alias("spans"))
-    live = ownership(few).where(F.col("owners") < wide_owners)
-    held = few.select("mark", F.explode("spans").alias("span")).select("mark", F.sha2("span.value", 256).alias("value_hash")).distinct()
-    verdicts = held.join(live, "value_hash").groupBy("mark").agg(F.collect_set("value_hash").alias("live"), F.max("owners").alias("most_owners"))
-    return keyed, verdicts
+    found = docs.select(row_mark(id_col, text_col).alias("mark"), F.col(id_col).alias("doc_id"), F.col(owner_col).alias("source"), candidates(F.col(text_col)).alias("spans"))
+    few = stored(found.where(F.size("spans") > 0), "secrets-found")
+    # copies of a row under one mark may name several owners; each counts
+    live = ownership(few.withColumn("doc_id", F.col("mark"))).where(F.col("owners") < wide_owners).select("value_hash")
+    once = few.groupBy("mark").agg(F.first("spans").alias("spans"))
+    held = once.select("mark", F.explode("spans").alias("span")).select("mark", F.sha2("span.value", 256).alias("value_hash")).distinct()
+    verdicts = held.join(live, "value_hash").groupBy("mark").agg(F.collect_set("value_hash").alias("live"))
+    return once.join(verdicts, "mark", "left")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, one row for each document row.
 
     Base spans are all there, whatever the ownership says; spans adds random-looking tokens whose value looks live.
-    n_live and n_example part all candidates by ownership. Null and empty texts have no spans. Repeated rows stay.
+    n_live and n_example part all candidates by ownership. Null and empty texts have no spans. Repeated rows stay. Ids
+    may be of any type and null; a null owner counts as one owner. An empty table gives no rows.
     """
-    keyed, verdicts = judged(docs, id_col, text_col, owner_col, wide_owners)
-    out = keyed.select(F.col("__mark").alias("mark"), F.col(id_col).alias("doc_id"), "__spans").join(verdicts, "mark", "left")
+    none = F.array().cast(SPANS)
+    found = judged(docs, id_col, text_col, owner_col, wide_owners)
+    out = docs.select(F.col(id_col).alias("doc_id"), row_mark(id_col, text_col).alias("mark")).join(found, "mark", "left").withColumn("__spans", F.coalesce("spans", none)).drop("spans")
     lives = lambda x: F.coalesce(F.array_contains("live", F.sha2(x["value"], 256)), F.lit(False))
     base = F.filter("__spans", lambda x: x["kind"] != "random")
     count = lambda kind: F.size(F.filter("__spans", lambda x: x["kind"] == kind)).cast("long")
@@ -111,11 +118,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", wide_owners: int = WIDE_OWNERS, mask: str = "[secret]") -> DataFrame:
     """The rows with every live-looking value replaced by the mask, all other columns as they are; ``n_chars`` is counted anew.
 
-    Rows without such a value pass unchanged. Only the value is masked, not the name that it is assigned to.
+    Rows without such a value pass unchanged, null and empty texts too. Only the value is masked, not the name that it is
+    assigned to. Repeated rows stay and fare alike.
     """
     order = docs.columns
-    keyed, verdicts = judged(docs, id_col, text_col, owner_col, wide_owners)
-    out = keyed.join(verdicts.withColumnsRenamed({"mark": "__mark", "live": "__live"}).select("__mark", "__live"), "__mark", "left")
+    found = judged(docs, id_col, text_col, owner_col, wide_owners).where("live IS NOT NULL")
+    out = docs.withColumn("__mark", row_mark(id_col, text_col)).join(found.select(F.col("mark").alias("__mark"), F.col("spans").alias("__spans"), F.col("live").alias("__live")), "__mark", "left")
     spans = F.filter("__spans", lambda x: F.array_contains("__live", F.sha2(x["value"], 256)))
     # later spans first would move nothing; a fold from the left keeps where it stands and skips what a span before covers
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
