@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe
+from quillmill.llm.common import stored
 
 #: Lengths that share a block of the two-level suffix sums.
 BLOCK = 1024
 
 
 def histogram(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """length, n_docs: how many documents encode to so many ids. Null and empty texts have length 0; repeated rows count each."""
+    """length, n_docs: how many documents encode to so many ids. Null and empty texts have length 0; repeated rows count each.
+
+    The histogram is stored, so that texts are encoded once however many answers are asked of it. An empty table gives
+    no rows; ids may be null and of any type, they are not used.
+    """
     lengths = bpe.encode(df, id_col, text_col, vocabulary, pattern, ids=False)
-    return lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return stored(lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs")), "token-histogram")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
