@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.common import arrow_map, column
 
-#: Characters that a leaf of the tree may hold.
-LEAF = 4096
+#: Characters that a leaf of the tree may hold: ordinary documents have several.
+LEAF = 256
 #: Ids that a leaf of the decoding tree may hold.
 DECODE_LEAF = 8192
 
@@ -124,9 +125,10 @@ def codec(ranks: bytes, pattern: str, leaf: int = LEAF) -> Codec:
 
 
 def _shipped(df: DataFrame, vocabulary: str | None, pattern: str | None):
+    """The ranks, the pattern and the leaves' size. A text is one leaf for any pattern but the default one, of which alone the joins' argument is known to hold."""
     with open(vocabulary or default_vocabulary(), "rb") as f:
         ranks = f.read()
-    return df.sparkSession.sparkContext.broadcast(ranks), pattern or default_pattern()
+    return df.sparkSession.sparkContext.broadcast(ranks), pattern or default_pattern(), LEAF if pattern in (None, default_pattern()) else sys.maxsize
 
 
 def _strings(batch: pa.RecordBatch) -> list[str]:
@@ -139,10 +141,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     Null and empty texts have no ids. A row goes in and out on its own: repeated rows stay, ids may be null.
     The vocabulary is a file of ranks on the driver, shipped once to each executor; it is of fixed size.
     """
-    ranks, split = _shipped(df, vocabulary, pattern)
+    ranks, split, leaf = _shipped(df, vocabulary, pattern)
 
     def part(batch: pa.RecordBatch) -> dict:
-        use = codec(ranks.value, split)
+        use = codec(ranks.value, split, leaf)
         got = [use.encode(x) for x in _strings(batch)]
         sizes = [len(x) for x in got]
         out = {"doc_id": column(batch, "doc_id"), "n_tokens": sizes}
@@ -157,11 +159,11 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and text: the ids' bytes, concatenated up the tree. Null ids count as none; an id that the file lacks is an error."""
-    ranks, split = _shipped(df, vocabulary, pattern)
+    ranks, split, leaf = _shipped(df, vocabulary, pattern)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        use = codec(ranks.value, split)
+        use = codec(ranks.value, split, leaf)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([use.decode(x or []).decode() for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
@@ -170,10 +172,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabula
 
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: each whole text encoded and its ids decoded, without leaving the worker."""
-    ranks, split = _shipped(df, vocabulary, pattern)
+    ranks, split, leaf = _shipped(df, vocabulary, pattern)
 
     def part(batch: pa.RecordBatch) -> dict:
-        use = codec(ranks.value, split)
+        use = codec(ranks.value, split, leaf)
         sizes, shown, back = [], [], []
         for text in _strings(batch):
             got = use.encode(text)
