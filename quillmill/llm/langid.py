@@ -102,9 +102,9 @@ def decide(model: Dictionaries, text: str | None) -> tuple[str, float]:
     return model.names[best], max(0.0, 1 - got[best] / rest) if rest else 1.0
 
 
-def rejects(text: str | None, name: str, margin: float, min_margin: float, min_bytes: int = 256) -> bool:
+def rejects(text: str | None, name: str, margin: float, min_margin: float, min_chars: int = 256) -> bool:
     """No language, or a narrow margin in a text long enough for its language to show."""
-    return name == UNKNOWN or margin < min_margin and len(text or "") >= min_bytes
+    return name == UNKNOWN or margin < min_margin and len(text or "") >= min_chars
 
 
 def classify(df: DataFrame, model: Dictionaries, min_margin: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

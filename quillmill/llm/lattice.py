@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import arrow_map, column, stored, texts
+from quillmill.llm.common import arrow_map, column, row_mark, stored, texts
 
 #: What a vocabulary of this kind puts before a word's first character.
 MARK = "▁"
@@ -277,7 +277,7 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", shipped_words
     head = {bytes(r.word): (r.n_train, r.log10_p) for r in corpus.words.orderBy(F.col("n").desc(), "word").limit(shipped_words).collect()}
     shipped = spark.sparkContext.broadcast(head)
     end_base, end_log, ends = math.log10(corpus.ends + 1) - floor, corpus.end_log10, corpus.ends
-    keyed = docs.select(F.col(id_col).alias("doc_id"), "held_out", "text").withColumn("mark", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), "held_out", "text").withColumn("mark", row_mark("doc_id", "text"))
 
     def near(batch: pa.RecordBatch) -> dict:
         known = shipped.value
@@ -297,7 +297,7 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", shipped_words
                 out[key].append(value)
         return {"doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "mark": column(batch, "mark"), **out}
 
-    shape = f"doc_id {kind}, held_out boolean, mark long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,times:int>>"
+    shape = f"doc_id {kind}, held_out boolean, mark string, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,times:int>>"
     first = stored(arrow_map(keyed, near, shape), "lattice-near")
     # rows that repeat ask once
     asked = first.where(F.size("rest") > 0).groupBy("mark").agg(F.first("rest").alias("rest")).select("mark", F.explode("rest").alias("x")).select("mark", "x.word", "x.times")
