@@ -5,11 +5,13 @@ a fraction over the elements. Ranks of one element differ at all places, which m
 that of independent minima. Here all elements of all texts go through the ranks together: rank 0 of every element, then
 rank 1 and so on, and a text leaves as soon as no later rank can lower any of its places (early stopping).
 
-Texts with equal shingle sets are one class. Classes that share a band meet in rounds: each is held against the band's
-leader, not against all others; then, in bands that still hold more than one component, against further leaders. What
-these bands still leave apart is compared where an upper bound of the overlap, from the shingles that few texts hold,
-allows the similarity asked for. So a large group costs a few comparisons a member, and no pair of a band that could be
-similar stays unexamined unless both are known to be connected.
+Texts with equal shingle sets are one class, by 128 bits of hash. Classes that share a band meet in rounds: each is held
+against the band's leader, not against all others; then, in bands that still hold more than one component, against further
+leaders. What these bands still leave apart meets by a parity signature: a bit for each of 1,024 parts of the shingles' hash
+space says whether the set's number of shingles there is odd. Two sets differ in at least as many shingles as their
+signatures differ in bits, so the join drops a pair whose bits already rule out the similarity asked for, and what it
+lets through is verified. So a large group costs a few comparisons a member, and no pair of a band that could be similar
+stays unexamined unless both are known to be connected. Verification compares the words themselves before a link counts.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import arrow_map, column, forget, stored, texts
+from quillmill.llm.common import arrow_map, column, digest, forget, stored, texts
 from quillmill.llm.hashing import mix, run_hashes, word_hashes
 
 #: Places of a signature (a power of 2), and bands. 32 bands of 4 miss a pair of similarity 0.8 once in twenty million.
 PLACES, BANDS = 128, 32
-#: Open texts that hold a shingle at most for it to lead to its pairs: it decides the cost, not the result.
-RARE = 64
+#: Long values of a parity signature, 64 bits each, and open members of a band that meet in one tile of the last join at
+#: most. Both decide the cost, not the result.
+PARITY, TILE = 16, 1024
 _FRACTION = 40
 
 
@@ -97,43 +100,73 @@ def _describe(size: int, places: int, bands: int):
         total = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(mix(values ^ np.uint64(0x8EBC6AF09C88C6E3)), out=total[1:])
         node = mix((total[offsets[1:]] - total[offsets[:-1]]) + counts.astype(np.uint64))
+        np.cumsum(mix(values ^ np.uint64(0x2545F4914F6CDD1D)), out=total[1:])
+        check = mix(total[offsets[1:]] - total[offsets[:-1]])
         found = band_hashes(signatures(values, offsets, places), bands).view(np.int64)
         sizes = np.where(counts > 0, bands, 0)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(found[counts > 0].ravel()))
-        return {"doc_id": column(batch, "doc_id"), "mark": column(batch, "mark"), "n_shingles": counts, "node": node.view(np.int64), "bands": lists}
+        return {"doc_id": column(batch, "doc_id"), "mark": column(batch, "mark"), "n_shingles": counts, "node": node.view(np.int64), "check": check.view(np.int64), "bands": lists}
 
     return part
 
 
-def _shingles(size: int):
+def parities(values: np.ndarray, offsets: np.ndarray, parity: int = PARITY) -> np.ndarray:
+    """For each set ``parity`` values of 64 bits; a bit is set if an odd number of the set's shingles fall on it."""
+    out = np.zeros((len(offsets) - 1) * parity, np.uint64)
+    at = mix(values ^ np.uint64(0xD1342543DE82EF95))
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    np.bitwise_xor.at(out, owner * parity + ((at >> np.uint64(6)) % np.uint64(parity)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.reshape(-1, parity)
+
+
+def _parities(size: int):
     def part(batch: pa.RecordBatch) -> dict:
-        values, offsets = shingle_sets(texts(batch), size)
-        return {"node": np.repeat(column(batch, "node").to_numpy(), np.diff(offsets)), "shingle": values.view(np.int64)}
+        found = parities(*shingle_sets(texts(batch), size)).view(np.int64)
+        return {"node": column(batch, "node"), **{f"p{k}": found[:, k] for k in range(PARITY)}}
 
     return part
 
 
+def _plain(raw: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The set of a text's shingles as words."""
+    words = raw.lower().split()
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
+
+
 def _verify(size: int, share: tuple[int, int]):
-    """Rows (a, b) of those (a, b, text, other) whose sets are similar enough. Others mostly come in runs: their sets are remembered."""
+    """Rows (a, b) of those (a, b, text, other) whose sets are similar enough. Others mostly come in runs: their sets are remembered.
+
+    What the hashes call similar is confirmed on the words.
+    """
     least, of = share
-    memory: OrderedDict[int, np.ndarray] = OrderedDict()
+    memory: OrderedDict[int, tuple[np.ndarray, set]] = OrderedDict()
 
     def part(batch: pa.RecordBatch) -> dict:
         a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
-        values, offsets = shingle_sets(texts(batch), size)
+        raw = texts(batch)
+        values, offsets = shingle_sets(raw, size)
         others = column(batch, "other").cast(pa.binary())
+
+        def enough(both: int, one: int, other: int) -> bool:
+            return of * both >= least * (one + other - both)
+
         keep = []
         for i, other in enumerate(b):
-            if (one := memory.get(other)) is None:
-                one = memory[other] = shingle_sets([others[i].as_py() or b""], size)[0]
+            if other not in memory:
+                text = others[i].as_py() or b""
+                memory[other] = shingle_sets([text], size)[0], _plain(text, size)
                 if len(memory) > 64:
                     memory.popitem(last=False)
+            one, plain = memory[other]
             mine = values[offsets[i] : offsets[i + 1]]
             if of * min(len(mine), len(one)) < least * max(len(mine), len(one)):
                 keep.append(False)
                 continue
-            both = len(np.intersect1d(mine, one, assume_unique=True))
-            keep.append(of * both >= least * (len(mine) + len(one) - both))
+            if not enough(len(np.intersect1d(mine, one, assume_unique=True)), len(mine), len(one)):
+                keep.append(False)
+                continue
+            words = _plain(raw[i], size)
+            keep.append(enough(len(words & plain), len(words), len(plain)))
         mask = np.array(keep, bool)
         return {"a": np.array(a, np.int64)[mask], "b": np.array(b, np.int64)[mask]}
 
@@ -143,9 +176,9 @@ def _verify(size: int, share: tuple[int, int]):
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """node, component (its least node) of all nodes of edges(a, b): large and small stars in turn until nothing changes.
 
-    Edges live in tables of the shared folder between the rounds; the driver sees a count and a checksum.
+    Edges live in tables of the shared folder between the rounds; the driver sees a count and a checksum. The stars settle
+    after a number of rounds that grows with the logarithm of the longest chain; not to settle in 64 is an error.
     """
-    spark = edges.sparkSession
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{what}-0")
     before = None
     for k in range(1, 64):
@@ -154,11 +187,14 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e")).where("e.a <> e.m").select("e.a", F.col("e.m").alias("b")).distinct()
-        now = stored(small, f"{what}-{k}")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        last, now = now, stored(small, f"{what}-{k}")
+        forget(last)
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if seen == before:
             break
         before = seen
+    else:
+        raise RuntimeError(f"{what} did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
@@ -167,21 +203,23 @@ def _salted(salt: int) -> Column:
     return F.xxhash64(F.lit(salt), F.col("node"), *([F.col("band")] if salt else []))
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, share: tuple[int, int] = (80, 100), places: int = PLACES, bands: int = BANDS, leaders: int = 4, rare: int = RARE) -> DataFrame:
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, share: tuple[int, int] = (80, 100), places: int = PLACES, bands: int = BANDS, leaders: int = 4, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, one row for each row.
 
     Texts are linked if share[1] * intersection >= share[0] * union of their sets of shingles of ``size`` words, A-Z
-    folded; component_id is the least doc_id that links reach. A text without words is its own component, null counts
-    as such. A null doc_id counts as larger than any other. Rows with equal ids are told apart by their texts.
+    folded; component_id is the least doc_id that links reach, in the ids' own type and order. A text without words is its
+    own component, null counts as such. A null doc_id counts as larger than any other. Rows with equal ids are told apart
+    by their texts; repeated rows stay. An empty table gives no rows.
     """
-    spark, kind = df.sparkSession, df.schema[id_col].dataType.simpleString()
-    last = F.lit((1 << 63) - 1)
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    described = stored(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark long, n_shingles long, node long, bands array<long>"), "neardup-described")
+    kind = df.schema[id_col].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", digest(F.col("text")))
+    described = stored(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark binary, n_shingles long, node long, check long, bands array<long>"), "neardup-described")
+    twins = stored(described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", "low"), "neardup-twins")
+    if not twins.isEmpty():  # different sets whose first 64 bits agree: all but one get another node
+        described = described.join(twins, "node", "left").withColumn("node", F.when(F.col("check") != F.col("low"), F.xxhash64(F.lit("twin"), "check")).otherwise(F.col("node"))).drop("low")
     some = described.where("n_shingles > 0")
-    classes = stored(some.groupBy("node").agg(F.min(F.coalesce(F.col("doc_id").cast("long"), last)).alias("least"), F.min("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "neardup-classes")
+    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "neardup-classes")
     rows = stored(described.select("doc_id", "n_shingles", "node"), "neardup-rows")
-    forget(described)
     banded = classes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     together = stored(banded.join(crowds, "band"), "neardup-together")
@@ -227,48 +265,35 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         edges, tested = edges.union(linked(fresh, "neardup-edges-1")), tested.union(more)
         members = grouped(members, edges, "neardup-round-1")
     if not members.isEmpty():
-        # An overlap is at most the lesser number of common shingles, those of more than ``rare`` open texts, plus the
-        # rare ones that both hold. Rare ones lead to their pairs through the shingle; a pair without any needs enough
-        # common ones on either side, and is looked for in the bands. Neither bound loses a pair.
-        nodes = stored(members.select("node", "component", "n").distinct(), "neardup-open-nodes")
-        shingles = stored(arrow_map(held.join(nodes.select("node"), "node", "left_semi"), _shingles(size), "node long, shingle long"), "neardup-shingles")
-        holders = stored(shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("node").alias("node")).where(F.col("holders") <= rare), "neardup-holders")
-        several = stored(shingles.join(holders.where("holders > 1").select("shingle"), "shingle"), "neardup-rare")
-        forget(shingles)
-        scarce = holders.where("holders = 1").select("node").union(several.select("node")).groupBy("node").agg(F.count(F.lit(1)).alias("scarce"))
-        known = stored(nodes.join(scarce, "node", "left").select("node", "component", "n", (F.col("n") - F.coalesce("scarce", F.lit(0))).alias("common")), "neardup-common")
-
-        def reaches(overlap: Column, n: Column, other: Column) -> Column:
-            return (share[0] + share[1]) * overlap >= share[0] * (n + other)
-
-        mine = several.join(known, "node")
-        theirs = mine.select("shingle", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("common").alias("more"))
-        met_rare = mine.join(theirs, "shingle").where((F.col("node") < F.col("b")) & (F.col("component") != F.col("its")) & sizes_fit(F.col("n"), F.col("m")))
-        shared_rare = met_rare.groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("both"), F.first(F.least("common", "more")).alias("rest"), F.first("n").alias("n"), F.first("m").alias("m"))
-        by_rare = shared_rare.where(reaches(F.col("both") + F.col("rest"), F.col("n"), F.col("m"))).select("a", "b")
-        # in each open band: everyone outside the largest component against all of other components, each pair in the
-        # first band that it shares
-        counts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"), F.min("n").alias("low"))
-        main = counts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"), F.min("low").alias("low"))
-        enough = members.select("band", "node").join(known, "node").join(main, "band").where(reaches(F.col("common"), F.col("n"), F.col("low")) & (share[1] * F.col("common") >= share[0] * F.col("n")))
-        open_ = stored(enough.join(classes.select("node", "bands"), "node"), "neardup-enough")
-        rest = open_.where("component <> main").select("band", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("common").alias("more"), F.col("bands").alias("others"))
+        # In each open band everyone outside the largest component meets all of other components, each pair in the first
+        # band that it shares. Tiles of a bounded number of members by a bounded number of outsiders part the work of a
+        # large band; the signatures' condition is part of the join, so that few rows leave it.
+        parity = arrow_map(held.join(members.select("node").distinct(), "node", "left_semi"), _parities(size), "node long, " + ", ".join(f"p{k} long" for k in range(PARITY)))
+        parity = stored(parity.join(classes.select("node", "bands"), "node"), "neardup-parities")
+        parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"))
+        main = parts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"), F.sum("in_part").alias("all"), F.max("in_part").alias("most"))
+        tiles = main.select("band", "main", F.ceil(F.col("all") / tile).alias("tiles"), F.ceil((F.col("all") - F.col("most")) / tile).alias("strips"))
+        open_ = stored(members.select("band", "node", "component", "n").join(tiles, "band"), "neardup-tiled")
+        place = lambda what, of: F.pmod(F.xxhash64(F.lit(what), "node"), F.col(of))
+        every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+        ours = open_.withColumn("tile", place("tile", "tiles")).withColumn("strip", every("strips")).join(parity, "node")
+        theirs = open_.where("component <> main").withColumn("strip", place("strip", "strips")).withColumn("tile", every("tiles")).join(parity, "node")
+        theirs = theirs.select("band", "tile", "strip", F.col("node").alias("b"), F.col("component").alias("its"), F.col("n").alias("m"), F.col("bands").alias("others"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITY)])
+        differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
+        may = (share[1] + share[0]) * differ <= (share[1] - share[0]) * (F.col("n") + F.col("m"))
         shared = F.zip_with("bands", "others", lambda x, y: x == y)
         first_shared = F.get(F.col("bands"), (F.array_position(shared, True) - 1).cast("int")) == F.col("band")
         each_once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("b"))
-        fits = sizes_fit(F.col("n"), F.col("m")) & reaches(F.least("common", "more"), F.col("n"), F.col("m"))
-        in_bands = open_.join(rest, "band").where((F.col("component") != F.col("its")) & each_once & fits & first_shared).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        pairs = by_rare.union(in_bands).distinct()
+        met_here = ours.join(theirs, ["band", "tile", "strip"]).where((F.col("component") != F.col("its")) & each_once & sizes_fit(F.col("n"), F.col("m")) & may & first_shared)
+        pairs = met_here.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         edges = edges.union(linked(stored(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))
     found = components(edges, "neardup-final")
     labelled = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(lowest, "component").select("node", "component_id")
-    own = F.coalesce(F.col("doc_id").cast("long"), last)
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", own))
-    kept = F.col("component_id") == own
-    return out.select("doc_id", "n_shingles", F.when(F.col("component_id") != last, F.col("component_id")).alias("component_id"), kept.alias("kept"))
+    out = rows.join(named, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:

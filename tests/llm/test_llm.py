@@ -132,6 +132,12 @@ def test_op1(spark, texts):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:]))
 
 
+def test_media_of_odd_texts(spark, odd):
+    got = jpeg.digest(odd).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.payload_sha256) for r in got) == sorted((i or 0, len((t or "").encode()), hashlib.sha256(jpeg.padded((t or "").encode())).hexdigest()) for i, t, *_ in ODD)
+    assert len({r.media_sha256 for r in got if r.n_bytes == 0}) == 1 and jpeg.digest(odd.limit(0)).count() == 0
+
+
 # ---- language and toxicity
 
 
@@ -151,6 +157,24 @@ def test_language_of_odd_texts(spark, odd, docs):
     assert {r.lang_pred for r in langid.classify(odd, none).collect()} == {"und"}
 
 
+def test_language_by_plain_compression(spark, docs):
+    import zstandard
+
+    model = langid.fit(docs, remainder("doc_id", 5) != 0)
+
+    def size(text, content):
+        raw, total = text.lower().encode(), 0
+        for i in range(0, len(raw), 1024):
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            dictionary.precompute_compress(level=6)
+            total += len(zstandard.ZstdCompressor(level=6, dict_data=dictionary, write_content_size=False).compress(raw[i : i + 1024]))
+        return total
+
+    for r in langid.classify(docs.where("doc_id % 9 = 0"), model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        got = sorted((size(r.text, c), k) for k, c in enumerate(model.content))
+        assert (r.lang_pred, r.score) == (model.names[got[0][1]], pytest.approx(1 - got[0][0] / got[1][0])) or not r.text
+
+
 def all_segments(scores):
     """Maximal scoring segments by the definition: the best one, then the best in what is left on either side."""
     if not scores:
@@ -184,6 +208,24 @@ def test_toxicity_learns_and_survives(spark, odd):
     assert len({r.score for r in toxicity.scan(odd, blank).collect()}) == 1
 
 
+def test_op3_on_held_out_rows(spark):
+    """Some labels are noise: marked texts without any marked word. Measured: area 0.9085, 99 of 120 found, 12 of 870 wrongly."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = queries.op3_segment_toxicity(spark, sf).collect()
+    assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r.predicted == (r.score >= 0.3) for r in got)
+    held = [(r.score, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
+    hot, cold = [s for s, y in held if y], [s for s, y in held if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in hot for b in cold) / (len(hot) * len(cold))
+    assert hot and auc >= 0.88 and sum(s >= 0.3 for s in cold) <= 0.03 * len(cold)
+
+
+def test_toxicity_of_no_documents(spark, odd):
+    labels = spark.createDataFrame([(4, 1), (6, 0)], "doc_id long, toxic int")
+    empty = odd.limit(0)
+    assert toxicity.scan(empty, toxicity.fit(empty, labels, remainder("doc_id", 4) != 9)).count() == 0
+
+
 # ---- language model
 
 
@@ -220,6 +262,15 @@ def test_op4(spark, docs, texts):
         assert r.base_score == pytest.approx(base) and r.score < 0
 
 
+def test_op4_scores_are_the_words_own(spark, docs, texts):
+    d = lattice.with_hold_out(docs, remainder("doc_id", 7) == 2)
+    corpus = lattice.fit(d)
+    known = {bytes(r.word): r.log10_p for r in corpus.words.collect()}
+    for r in lattice.score(d, corpus, shipped_words=50).collect():
+        assert r.score == pytest.approx(corpus.end_log10 + sum(known[w] for w in texts[r.doc_id].encode().lower().split()))
+    assert sum(10**x for x in known.values()) + 10**corpus.end_log10 <= 1 + 1e-9
+
+
 def test_language_model_of_odd_texts(spark, odd):
     d = lattice.with_hold_out(odd, remainder("doc_id", 7) == 2)
     got = lattice.score(d, lattice.fit(d)).collect()
@@ -250,12 +301,12 @@ def test_op5(spark, texts):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest())
 
 
-@pytest.mark.parametrize("limit", [0, 100])
+@pytest.mark.parametrize("limit", [0, 1 << 26])
 def test_decontamination_of_odd_texts(spark, odd, limit):
     bench = spark.createDataFrame([(1, "Word!"), (2, "two three four"), (3, None), (4, "")], "item_id long, text string")
-    got = decontaminate.report(odd, bench, broadcast_rows=limit).collect()
+    got = decontaminate.report(odd, bench, broadcast_bytes=limit).collect()
     assert sorted((r.doc_id or 0, r.n_hit, tuple(r["items"])) for r in got) == [(0, 3, ("2",)), (1, 0, ()), (2, 0, ()), (3, 0, ()), (4, 1, ("1",)), (4, 1, ("1",)), (5, 0, ()), (5, 1, ("1",)), (6, 0, ())]
-    left = decontaminate.clean(odd, bench, broadcast_rows=limit).collect()
+    left = decontaminate.clean(odd, bench, broadcast_bytes=limit).collect()
     assert sorted((r.doc_id or 0, r.text) for r in left if r.text and len(r.text) < 99) == [(0, "one five six"), (3, " \t\n"), (5, "other text here")]
     assert decontaminate.report(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.report(odd.limit(0), bench).count() == 0
@@ -274,6 +325,34 @@ def test_secrets(spark):
     assert secrets.report(df).count() == len(rows)
 
 
+BASE = [
+    ("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", r"(AKIA[A-Z0-9]+)", 18),
+    ("hex", r"([0-9a-f]+)", 16),
+]
+
+
+def test_op6_by_plain_patterns(spark, texts):
+    import re
+
+    for r in queries.op6_secret_ownership(spark, SF).collect():
+        found = []
+        for k, (kind, pattern, least) in enumerate(BASE):
+            found += [(m.start(), k, kind, m.end()) for m in re.finditer(pattern, texts[r.doc_id], re.I | re.A if kind == "assign" else re.A) if len(m[1]) >= least]
+        shown = [f"{kind}:{a}:{b}" for a, _, kind, b in sorted(found)]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and set(shown) <= set(r.spans.split(",") if r.spans else [])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[2] == kind for x in found) for kind, *_ in BASE)
+
+
+def test_secrets_of_odd_texts(spark, odd):
+    got = secrets.report(odd).collect()
+    assert len(got) == len(ODD) and all((r.spans, r.n_live, r.n_example) == ("", 0, 0) for r in got)
+    assert sorted((r.doc_id or 0, r.text or "") for r in secrets.redact(odd).collect()) == sorted((i or 0, t or "") for i, t, *_ in ODD)
+    assert secrets.report(odd.limit(0)).count() == secrets.redact(odd.limit(0)).count() == 0
+    long = spark.createDataFrame([(None, "x " * 200_000 + 'token="abcdefghijkl0123456789"', None)], "doc_id long, text string, source string")
+    assert secrets.report(long).first().spans == "assign:400000:400029"
+
+
 # ---- near duplicates
 
 
@@ -330,6 +409,48 @@ def test_near_duplicates_of_odd_texts_and_chains(spark, odd):
     assert neardup.link(odd.limit(0)).count() == 0
 
 
+def thue_morse(n):
+    plain = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return plain, plain.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_a_regular_build_are_told_apart(spark):
+    one, other = thue_morse(1024)
+    same = " ".join(f"w{i}" for i in range(17))
+    df = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.link(df).collect()} == {1: 1, 2: 2}
+    df = spark.createDataFrame([(1, f"{same} {one} {same}"), (2, f"{same} {other} {same}")], "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_repeats(df).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_near_duplicates_around_the_threshold(spark, tile):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = {}
+    for i in range(500):  # most pairs have a similarity from 0.7 to 0.9
+        words = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 2, 3, 4, 4, 5, 5, 6])):
+            words[at] = f"x{rng.randint(0, 40)}"
+        rows[i] = " ".join(words)
+    want = linked(rows)
+    assert len({c for _, c in want.values()}) > 20
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), tile=tile).collect()}
+    assert got == want
+
+
+def test_ids_of_any_type(spark, odd):
+    named = odd.withColumn("doc_id", F.concat(F.lit("d-"), F.col("doc_id").cast("string")))
+    bench = spark.createDataFrame([("q", "two three four")], "item_id string, text string")
+    found = {(r.doc_id, r.component_id) for r in neardup.link(named).collect()}
+    assert ("d-5", "d-4") in found and (None, None) in found and ("d-2", "d-2") in found
+    assert neardup.keep_one(named).where("doc_id = 'd-4'").count() == 1
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(named, bench).collect()}[None] == 3
+    assert decontaminate.clean(named, bench).count() == len(ODD) and secrets.report(named).count() == len(ODD) and secrets.redact(named).columns == named.columns
+    d = lattice.with_hold_out(named, remainder("doc_id", 7) == 2)
+    assert lattice.score(d, lattice.fit(d)).count() == len(ODD) == substrings.remove_repeats(named).count() == jpeg.digest(named).count()
+
+
 # ---- tokens
 
 
@@ -364,6 +485,16 @@ def test_token_histogram(spark, texts):
     assert token_counts.truncated_totals(sums, [100]).first().truncated_total == sum(min(s, 100) for s in sizes)
 
 
+def test_tokens_of_odd_texts(spark, odd):
+    assert bpe.round_trip(odd.limit(0)).count() == bpe.encode(odd.limit(0)).count() == token_counts.suffix_sums(token_counts.histogram(odd.limit(0))).count() == 0
+    plain = bpe.Codec(open(bpe.default_vocabulary(), "rb").read(), bpe.default_pattern()).plain
+    sizes = Counter(len(plain(t or "")) for _, t, *_ in ODD)
+    assert {r.length: r.n_docs for r in token_counts.histogram(odd).collect()} == sizes
+    assert [r.text for r in bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()] == [""]
+    other = r"\s+|\S+"
+    assert {r.doc_id: r.n_tokens for r in bpe.encode(odd, pattern=other).collect()}[2] == 0
+
+
 # ---- substrings
 
 
@@ -408,9 +539,18 @@ def test_pipeline_stages(spark, docs):
 
 
 def test_pipeline_of_odd_rows(spark, docs):
-    full = docs.limit(20).unionByName(spark.createDataFrame([(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (None, "Some text that is clean.", "en", None, 24)], docs.schema))
-    for frame in (full, docs.limit(0)):
-        now = frame
-        for _, stage in corpus_pipeline.STAGES:
-            now = stage(spark, now, SF)
-        now.count()
+    plain = " ".join(docs.where("lang = 'en' AND length(text) > 3000").orderBy("doc_id").first().text.split()[:60])
+    rows = [(10**6, None, None, None, None), (10**6 + 1, "", "en", "s", 0), (None, plain, "en", None, 24), (10**6 + 2, plain, "en", "s", 1), (10**6 + 2, plain, "en", "s", 1), (10**6 + 3, "12345 !", "en", "s", 7), (10**6 + 4, " ".join(random.Random(3).choices(plain.split(), k=30_000)), "en", "s", 9)]
+    full = docs.limit(20).unionByName(spark.createDataFrame(rows, docs.schema)).withColumn("component", F.lit("kept")).withColumn("mark", F.lit(1))
+    now = full
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        now = stage(spark, now, SF)
+        if k < 4:
+            assert now.columns == full.columns and now.where("component <> 'kept' OR mark <> 1").count() == 0
+        left = [r.doc_id for r in now.select("doc_id").collect() if r.doc_id is None or r.doc_id >= 10**6]
+        # texts without a letter go by language; of the equal ones the least id stays, once
+        assert sorted(x for x in left if x) == ([10**6 + 2, 10**6 + 2, 10**6 + 4] if k == 0 else [10**6 + 2, 10**6 + 4]) and left.count(None) == (k == 0)
+    now = full.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, SF)
+    assert now.count() == 0
