@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +90,53 @@ def drop_own(scores: DataFrame, own: DataFrame) -> DataFrame:
     return scores.join(own, ["query", "doc"], "left_anti")
 
 
-def dense(queries: DataFrame, library: DataFrame, vector: str) -> DataFrame:
-    """query, doc, cos of queries(query, vector) against a library(doc, vector).
+#: Bytes of query vectors up to which their blocks are broadcast, and rows of a block.
+SHIPPED_BYTES, BLOCK_ROWS = 64 << 20, 1024
+
+
+def _blocks(rows: DataFrame, id_col: str, vector: str, n: int, names: tuple[str, str, str]) -> DataFrame:
+    """block, ids, vectors: the rows dealt over n blocks by the hash of their id."""
+    block, ids, vectors = names
+    both = F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")))
+    return rows.groupBy(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(block)).agg(both.alias("x")).select(block, F.col("x.id").alias(ids), F.col("x.v").alias(vectors))
+
+
+def _cosines_of_blocks(least: float | None):
+    """query, doc, cos of rows (ids, vectors, qids, qvectors): one matrix product a row."""
+
+    def unit(vectors: list) -> np.ndarray:
+        m = np.array(vectors, np.float64)
+        size = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_doc, of_query = batch.schema.field("ids").type.value_type, batch.schema.field("qids").type.value_type
+            for ids, vectors, qids, qvectors in zip(*(c.to_pylist() for c in batch.columns)):
+                cos = unit(qvectors) @ unit(vectors).T
+                q, d = np.nonzero(cos >= least) if least is not None else (x.ravel() for x in np.indices(cos.shape))
+                for k in range(0, len(q), 1 << 16):
+                    part = slice(k, k + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(qids, of_query).take(pa.array(q[part])), pa.array(ids, of_doc).take(pa.array(d[part])), pa.array(cos[q[part], d[part]])], names=["query", "doc", "cos"])
+
+    return run
+
+
+def dense(queries: DataFrame, library: DataFrame, vector: str, least: float | None = None) -> DataFrame:
+    """query, doc, cos of queries(query, vector) against a library(doc, vector), all or those of ``least`` and more.
 
-    The queries are a stated, bounded set: they are the side that is broadcast, in blocks if there are many.
+    The queries are a stated set. They and the library are cut into blocks of some 1,024 rows; each block of the library
+    meets each block of queries, and a meeting is one matrix product. The query blocks are broadcast while their vectors take
+    at most 64 MB and are joined by their number beyond that. A vector of norm 0 has cosine 0 with all.
     """
-    q = queries.select("query", F.col(vector).alias("qv"))
-    return library.join(F.broadcast(q), F.lit(True)).select("query", "doc", rules.cosine(F.col("qv"), F.col(vector)).alias("cos"))
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    rows = library.count()
+    kinds = queries.schema["query"].dataType.simpleString(), library.schema["doc"].dataType.simpleString()
+    n_blocks, n_parts = max(1, -(-n // BLOCK_ROWS)), max(1, -(-rows // BLOCK_ROWS))
+    q = _blocks(queries, "query", vector, n_blocks, ("block", "qids", "qvectors"))
+    parts = _blocks(library, "doc", vector, n_parts, ("part", "ids", "vectors")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    met = parts.join(F.broadcast(q) if n * 8 * (width or 0) <= SHIPPED_BYTES else q, "block").select("ids", "vectors", "qids", "qvectors")
+    return met.mapInArrow(_cosines_of_blocks(least), f"query {kinds[0]}, doc {kinds[1]}, cos double")
 
 
 def hybrid(lexical: DataFrame, dense_: DataFrame, weight: float, floor: float = 0.2, k: int = 60) -> DataFrame:
