@@ -192,10 +192,10 @@ DRAW = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8)) AS BIGINT)
 @query(f"""WITH {ARMS}, p AS (SELECT sample_id % 4 AS grp, sample_id, a.metric AS x, b.metric AS y, a.metric - b.metric AS d, row_number() OVER (PARTITION BY sample_id % 4 ORDER BY sample_id) - 1 AS place, count(*) OVER (PARTITION BY sample_id % 4) AS n
   FROM (SELECT * FROM arms WHERE arm = 'A') a JOIN (SELECT * FROM arms WHERE arm = 'R') b USING (sample_id)),
 g AS (SELECT grp, max(n) AS n, avg(x) AS mean_a, avg(y) AS mean_b, avg(d) AS diff FROM p GROUP BY grp),
-rep AS (SELECT grp, b, {DRAW.format(seed=0)} AS place FROM g, range(100) t(b), range(100000) u(i) WHERE i < n),
+rep AS (SELECT grp, b, {DRAW.format(seed=0)} AS place FROM g, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
 m AS (SELECT rep.grp, rep.b, sum(d) / max(p.n) AS m FROM rep JOIN p ON p.grp = rep.grp AND p.place = rep.place GROUP BY 1, 2),
-l AS (SELECT m.grp, list(m ORDER BY m) AS s, least(1.0, 2.0 * count_if(CASE WHEN diff >= 0 THEN m <= 0 ELSE m >= 0 END) / 100) AS p FROM m JOIN g USING (grp) GROUP BY m.grp)
-SELECT grp, n, mean_a, mean_b, diff, s[2] AS ci_low, s[98] AS ci_high, CAST(p AS DOUBLE) AS p FROM g JOIN l USING (grp)""", ["mean_a", "mean_b", "diff", "ci_low", "ci_high", "p"])
+l AS (SELECT m.grp, list(m ORDER BY m) AS s, least(1.0, 2.0 * count_if(CASE WHEN diff >= 0 THEN m <= 0 ELSE m >= 0 END) / 2000) AS p FROM m JOIN g USING (grp) GROUP BY m.grp)
+SELECT grp, n, mean_a, mean_b, diff, s[50] AS ci_low, s[1951] AS ci_high, CAST(p AS DOUBLE) AS p FROM g JOIN l USING (grp)""", ["mean_a", "mean_b", "diff", "ci_low", "ci_high", "p"])
 def t1_paired_bootstrap(spark, d):
     """Paired percentile bootstrap with draws by a counter hash."""
     x = arms(spark, d)
@@ -206,7 +206,7 @@ def t1_paired_bootstrap(spark, d):
 
 @query(f"""WITH {DECISIONS}, c AS (SELECT model, cluster, CAST(sum(CAST(decision = label AS INT)) AS BIGINT) AS correct, count(*) AS rows_ FROM dec GROUP BY 1, 2),
 k AS (SELECT model, cluster, correct, rows_, row_number() OVER (PARTITION BY model ORDER BY cluster) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM c),
-s AS (SELECT max(n) AS n FROM k), rep AS (SELECT b, {DRAW.format(seed=5)} AS place FROM s, range(60) t(b), range(100000) u(i) WHERE i < n),
+s AS (SELECT max(n) AS n FROM k), rep AS (SELECT b, {DRAW.format(seed=5)} AS place FROM s, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
 x AS (SELECT model, b, sum(correct) / CAST(sum(rows_) AS DOUBLE) AS x FROM rep JOIN k USING (place) GROUP BY 1, 2)
 SELECT model, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high FROM x GROUP BY model""", ["ci_low", "ci_high"])
 def t2_clustered_bootstrap(spark, d):
@@ -215,7 +215,12 @@ def t2_clustered_bootstrap(spark, d):
     return St.clustered_intervals(rows, "model", "cluster", 2000, 5)
 
 
-@query()
+@query(f"""WITH {DECISIONS}, c AS (SELECT model, cluster, CAST(sum(CAST(decision = label AS INT)) AS BIGINT) AS correct, count(*) AS rows_ FROM dec GROUP BY 1, 2),
+k AS (SELECT model, cluster, correct, rows_, row_number() OVER (PARTITION BY model ORDER BY cluster) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM c),
+s AS (SELECT max(n) AS n FROM k), rep AS (SELECT b, {DRAW.format(seed=5)} AS place FROM s, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
+x AS (SELECT model, b, sum(correct) / CAST(sum(rows_) AS DOUBLE) AS x FROM rep JOIN k USING (place) GROUP BY 1, 2),
+d AS (SELECT f.model AS "first", g.model AS "second", f.x - g.x AS d FROM x f JOIN x g ON f.b = g.b AND f.model < g.model)
+SELECT "first", "second", avg(d) AS mean_diff, quantile_cont(d, 0.025) AS ci_low, quantile_cont(d, 0.975) AS ci_high FROM d GROUP BY 1, 2""", ["mean_diff", "ci_low", "ci_high"])
 def t3_model_differences(spark, d):
     """Paired differences between models over shared draws."""
     rows = decisions(spark, d).select("model", "cluster", (F.col("decision") == F.col("label")).cast("long").alias("correct"))
@@ -244,7 +249,7 @@ def t12_temperature(spark, d):
     return St.temperature(decisions(spark, d).select((F.col("p") - 0.5).alias("margin"), "y"), [0.5, 0.75, 1.0, 1.5, 2.0, 3.0])
 
 
-@query(f"""WITH {ARMS}, s AS (SELECT arm, string_agg(sha256(CAST(CAST(round(metric * 100) AS BIGINT) AS VARCHAR)), ',' ORDER BY sample_id) AS l, count(*) AS n FROM arms WHERE sample_id <= 50 GROUP BY arm) SELECT arm, sha256(l) AS signature FROM s""")
+@query(f"""WITH {ARMS}, s AS (SELECT arm, string_agg(sha256(CAST(CAST(round(metric * 100) AS BIGINT) AS VARCHAR)), ',' ORDER BY sample_id) AS l, count(*) AS n FROM arms WHERE sample_id IN (SELECT sample_id FROM arms GROUP BY sample_id HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM arms)) GROUP BY arm) SELECT arm, sha256(l) AS signature FROM s""")
 def a36_signature(spark, d):
     """Ordered content signatures over all samples that every arm has."""
     x = arms(spark, d).withColumn("v", F.round(F.col("metric") * 100).cast("long"))
@@ -260,7 +265,7 @@ def j21_born_before(spark, d):
     return J.born_before(x, births, "unit").groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS grp, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders), f AS (SELECT * FROM c WHERE idx < 4),
+@query("""WITH c AS (SELECT o_custkey AS grp, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders), f AS (SELECT * FROM c),
 d AS (SELECT a.grp, a.idx AS i, b.idx AS j, CASE WHEN a.o_totalprice > b.o_totalprice THEN a.idx ELSE b.idx END AS won FROM f a JOIN f b ON a.grp = b.grp AND a.idx < b.idx)
 SELECT grp AS "group", arg_max(idx, o_totalprice) AS winner FROM f GROUP BY grp HAVING count(*) > 1""")
 def w11_copeland(spark, d):
