@@ -1,3 +1,4 @@
+import math
 import random
 import statistics
 
@@ -66,11 +67,53 @@ def test_interval_union(spark):
     assert (r.active, r.span, r.sessions) == (15.0, 23.0, 4)
 
 
-def test_horizon():
-    assert [V.required_horizon(1128, 7598, 100000), V.required_horizon(5000, 100000, 100000), V.required_horizon(128, 0, 1000)] == [6000, 5000, 1000]
+def test_horizon(spark):
+    rows = [(1128, 7598, 100000, 6000), (5000, 100000, 100000, 5000), (128, 0, 1000, 1000), (0, 0, 100, 100)]
+    df = spark.createDataFrame(rows, "frontier int, retained int, total int, want int")
+    assert all(r.horizon == r.want for r in V.required_horizon(df, "frontier", "retained", "total").collect())
     with pytest.raises(ValueError):
-        V.required_horizon(1, 1, 1, most=0)
-    assert V.checkpoints(10, 4) == [0, 4, 8, 10]
+        V.required_horizon(df, "frontier", "retained", "total", most=0)
+    assert [list(r.c) for r in df.limit(1).select(V.checkpoints(F.lit(10), 4).alias("c")).collect()] == [[0, 4, 8, 10]]
+    assert [list(r.c) for r in df.limit(1).select(V.checkpoints(F.lit(8), 4).alias("c")).collect()] == [[0, 4, 8]]
+
+
+def test_horizon_is_enough_and_needed(spark):
+    """Random states: sources up to the horizon may suffice, those before its last shard can't."""
+    rng = random.Random(11)
+    rows = [(k, rng.randint(0, 3000), rng.randint(0, 900), rng.choice([90, 700, 1500, 3000])) for k in range(60)]
+    rows = [(k, min(f, t), r, t) for k, f, r, t in rows]
+    df = spark.createDataFrame(rows, "id int, frontier int, retained int, total int")
+    knobs = {"initial": 1000, "size": 250, "pilot": 100}
+    found = {}
+    for s in V.shards(df, "total", **knobs).orderBy("start").collect():
+        found.setdefault(s.id, []).append((s.start, s.stop))
+    for r in V.required_horizon(df, "frontier", "retained", "total", target=800, most=2, **knobs).collect():
+        cuts = found.get(r.id, [])
+        assert all(a[1] == b[0] for a, b in zip(cuts, cuts[1:])) and (not cuts or (cuts[0][0], cuts[-1][1]) == (100, r.total)) and all(b - a <= 250 for a, b in cuts)
+        least = min(1000, r.total)
+        if r.frontier >= least and r.retained >= 800:
+            assert r.horizon == r.frontier
+        else:
+            may = lambda stop: stop >= least and (stop >= r.total or r.retained + 2 * (stop - r.frontier) >= 800)
+            assert r.horizon >= r.frontier and (may(r.horizon) or r.horizon == r.total)
+            assert not any(may(stop) for _, stop in cuts if r.frontier <= stop < r.horizon)
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)] if i else [0.0] * 6) for i in range(50)]
+    lib = spark.createDataFrame(rows, "doc int, v array<double>")
+    queries = lib.where("doc % 7 = 0").withColumnRenamed("doc", "query")
+    for shipped, block in ((1 << 20, 1024), (0, 5)):
+        monkeypatch.setattr(R, "SHIPPED_BYTES", shipped)
+        monkeypatch.setattr(R, "BLOCK_ROWS", block)
+        got = {(r["query"], r.doc): r.cos for r in R.dense(queries, lib, "v").collect()}
+        assert len(got) == 8 * 50 and {got[0, i] for i in range(50)} == {0.0}
+        for (a, b), c in got.items():
+            x, y = rows[a][1], rows[b][1]
+            norm = math.hypot(*x) * math.hypot(*y)
+            assert c == pytest.approx(sum(p * q for p, q in zip(x, y)) / norm if norm else 0.0)
+        assert {k for k, c in got.items() if c >= 0.3} == {(r["query"], r.doc) for r in R.dense(queries, lib, "v", 0.3).collect()}
 
 
 def test_bootstrap_of_equal_models_and_clusters(spark):
