@@ -211,30 +211,35 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     own component, null counts as such. A null doc_id counts as larger than any other. Rows with equal ids are told apart
     by their texts; repeated rows stay. An empty table gives no rows.
     """
+    made: list[DataFrame] = []
+
+    def keep(rows: DataFrame, what: str) -> DataFrame:
+        made.append(stored(rows, what))
+        return made[-1]
+
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", digest(F.col("text")))
-    described = stored(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark binary, n_shingles long, node long, check long, bands array<long>"), "neardup-described")
-    twins = stored(described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", "low"), "neardup-twins")
+    described = keep(arrow_map(docs, _describe(size, places, bands), f"doc_id {kind}, mark binary, n_shingles long, node long, check long, bands array<long>"), "neardup-described")
+    twins = keep(described.where("n_shingles > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node", "low"), "neardup-twins")
     if not twins.isEmpty():  # different sets whose first 64 bits agree: all but one get another node
         described = described.join(twins, "node", "left").withColumn("node", F.when(F.col("check") != F.col("low"), F.xxhash64(F.lit("twin"), "check")).otherwise(F.col("node"))).drop("low")
     some = described.where("n_shingles > 0")
-    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "neardup-classes")
-    rows = stored(described.select("doc_id", "n_shingles", "node"), "neardup-rows")
+    classes = keep(some.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("mark").alias("mark"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "neardup-classes")
+    rows = keep(described.select("doc_id", "n_shingles", "node"), "neardup-rows")
     banded = classes.select("node", F.explode("bands").alias("band"))
     crowds = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    together = stored(banded.join(crowds, "band"), "neardup-together")
-    met = stored(together.join(classes.select("node", "mark", "n"), "node"), "neardup-bands")
-    forget(together)
+    together = keep(banded.join(crowds, "band"), "neardup-together")
+    met = keep(together.join(classes.select("node", "mark", "n"), "node"), "neardup-bands")
     # the texts that take part in any comparison, one for each class
     wanted = met.select("mark").distinct()
     held = docs.select("mark", "text").groupBy("mark").agg(F.first("text").alias("text"))
-    held = stored(held.join(wanted, "mark").join(classes.select("mark", "node"), "mark").select("node", "text"), "neardup-texts")
+    held = keep(held.join(wanted, "mark").join(classes.select("mark", "node"), "mark").select("node", "text"), "neardup-texts")
 
     def linked(pairs: DataFrame, what: str) -> DataFrame:
         """Of pairs(a, b) those that are similar enough; b is the one that many share."""
         first = pairs.join(held.select(F.col("node").alias("a"), "text"), "a")
         second = first.join(held.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-        return stored(arrow_map(second, _verify(size, share), "a long, b long"), what)
+        return keep(arrow_map(second, _verify(size, share), "a long, b long"), what)
 
     def sizes_fit(n: Column, other: Column) -> Column:
         return share[1] * F.least(n, other) >= share[0] * F.greatest(n, other)
@@ -246,14 +251,14 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
             top = members.groupBy("band").agg(F.min_by(F.struct("node", "n", "component"), _salted(salt)).alias("top"))
             one = members.join(top, "band").where((F.col("component") != F.col("top.component")) & sizes_fit(F.col("n"), F.col("top.n"))).select(F.col("node").alias("a"), F.col("top.node").alias("b"))
             pairs = one if pairs is None else pairs.union(one)
-        return stored(pairs.distinct(), what)
+        return keep(pairs.distinct(), what)
 
     def grouped(members: DataFrame, edges: DataFrame, what: str) -> DataFrame:
         """The members with the components that the edges make, as far as bands hold more than one."""
         parts = members.drop("component").join(components(edges, what), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        parts = stored(parts, f"{what}-members")
+        parts = keep(parts, f"{what}-members")
         split = parts.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        return stored(parts.join(split, "band"), f"{what}-open")
+        return keep(parts.join(split, "band"), f"{what}-open")
 
     members = met.withColumn("component", F.col("node"))
     tested = led(members, [0], "neardup-pairs-0")
@@ -269,11 +274,11 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         # band that it shares. Tiles of a bounded number of members by a bounded number of outsiders part the work of a
         # large band; the signatures' condition is part of the join, so that few rows leave it.
         parity = arrow_map(held.join(members.select("node").distinct(), "node", "left_semi"), _parities(size), "node long, " + ", ".join(f"p{k} long" for k in range(PARITY)))
-        parity = stored(parity.join(classes.select("node", "bands"), "node"), "neardup-parities")
+        parity = keep(parity.join(classes.select("node", "bands"), "node"), "neardup-parities")
         parts = members.groupBy("band", "component").agg(F.count(F.lit(1)).alias("in_part"))
         main = parts.groupBy("band").agg(F.max_by("component", F.struct("in_part", "component")).alias("main"), F.sum("in_part").alias("all"), F.max("in_part").alias("most"))
         tiles = main.select("band", "main", F.ceil(F.col("all") / tile).alias("tiles"), F.ceil((F.col("all") - F.col("most")) / tile).alias("strips"))
-        open_ = stored(members.select("band", "node", "component", "n").join(tiles, "band"), "neardup-tiled")
+        open_ = keep(members.select("band", "node", "component", "n").join(tiles, "band"), "neardup-tiled")
         place = lambda what, of: F.pmod(F.xxhash64(F.lit(what), "node"), F.col(of))
         every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
         ours = open_.withColumn("tile", place("tile", "tiles")).withColumn("strip", every("strips")).join(parity, "node")
@@ -287,8 +292,11 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         met_here = ours.join(theirs, ["band", "tile", "strip"]).where((F.col("component") != F.col("its")) & each_once & sizes_fit(F.col("n"), F.col("m")) & may & first_shared)
         pairs = met_here.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         done = tested.union(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        edges = edges.union(linked(stored(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))
+        edges = edges.union(linked(keep(pairs.join(done, ["a", "b"], "left_anti"), "neardup-pairs-2"), "neardup-edges-2"))
     found = components(edges, "neardup-final")
+    for table in made:  # what the result reads stays
+        if table is not classes and table is not rows:
+            forget(table)
     labelled = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     named = labelled.join(lowest, "component").select("node", "component_id")

@@ -522,6 +522,26 @@ def test_repeats_of_odd_texts(spark, odd):
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
 
+# ---- whole jobs
+
+
+def test_last_round_takes_pairs_of_one_shared_band(spark):
+    core = [f"c5x{i}" for i in range(8)]  # the least shingle is one of these in all texts
+    texts = [" ".join([*core, *(f"f{k}x{i}" for i in range(3))]) for k in range(60)] + [" ".join([*core, "p", "q", "r", x]) for x in "st"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # a signature of one place in one band: a pair can share one band at most, and none of the leaders is like it
+    got = {r.doc_id: r.component_id for r in neardup.link(docs, places=1, bands=1, leaders=2, tile=7).collect()}
+    assert got[60] == got[61] == 60 and all(got[k] == k for k in range(60))
+
+
+def test_all_sampled_texts_serve_in_the_dictionary(spark):
+    docs = spark.createDataFrame([(i, "a" * 900 + f" t{i} " * 200, "x") for i in range(100)], "doc_id long, text string, lang string")
+    content = langid.fit(docs, F.lit(True), dict_bytes=8000).content[0]
+    assert len(content) <= 8000 and content.count(b"\n") >= 60
+    assert sum(f" t{i} ".encode() in content for i in range(100)) > 30
+    assert langid._joined([b"abcdef", b"z", b"ghijkl"], 11) == b"abc\nz\nghi"
+
+
 # ---- pipeline
 
 
