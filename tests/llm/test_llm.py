@@ -542,6 +542,19 @@ def test_all_sampled_texts_serve_in_the_dictionary(spark):
     assert langid._joined([b"abcdef", b"z", b"ghijkl"], 11) == b"abc\nz\nghi"
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    show = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+    assert show(got) == show(want)
+
+
 # ---- pipeline
 
 
