@@ -268,13 +268,21 @@ def score(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", shipped_words
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs(doc_id, text, held_out), one row for each row.
 
     base_score: sum of log10((c + 1) / (N + 1 * (V + 1))) over the words and the end, c the token's count in training
-    texts. score: log10 of the model's probability of the text. The ``shipped_words`` most frequent words are looked up
-    on the spot; the table of all others is joined. Null and empty texts have the end alone. Repeated rows stay.
+    texts. score: log10 of the model's probability of the text. The most frequent words, ``shipped_words`` at most, are
+    looked up on the spot; the table of all others is joined. Null and empty texts have the end alone. Repeated rows stay.
+    Ids may be of any type and null.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     n, v = corpus.train_tokens, corpus.train_distinct
     floor = math.log10(n + (v + 1))
-    head = {bytes(r.word): (r.n_train, r.log10_p) for r in corpus.words.orderBy(F.col("n").desc(), "word").limit(shipped_words).collect()}
+    # by eighths of a power of 2 of their counts: a few hundred numbers say from which count on the words are few enough
+    power = F.floor(8 * F.log2("n"))
+    least, room = None, shipped_words
+    for r in sorted(corpus.words.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r.power):
+        if r.words > room:
+            break
+        least, room = r.power, room - r.words
+    head = {} if least is None else {bytes(r.word): (r.n_train, r.log10_p) for r in corpus.words.where(power >= least).collect()}
     shipped = spark.sparkContext.broadcast(head)
     end_base, end_log, ends = math.log10(corpus.ends + 1) - floor, corpus.end_log10, corpus.ends
     keyed = docs.select(F.col(id_col).alias("doc_id"), "held_out", "text").withColumn("mark", row_mark("doc_id", "text"))
