@@ -127,6 +127,25 @@ def clustered_auc(rows: DataFrame, model: str, cluster: str, score: str, truth:
     return found.select(model, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), "valid")
 
 
+def clustered_f1(rows: DataFrame, model: str, cluster: str, truth: str, predicted: str, n_resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """model, interval of F1 over resampled clusters, valid: the replicates that have any positive, which alone count.
+
+    Rows whose prediction is null are unresolved and left out of each replicate. All models see the same draws.
+    """
+    t, p = F.col(truth) == 1, F.col(predicted) == 1
+    sums = rows.where(F.col(predicted).isNotNull()).groupBy(model, cluster).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))
+    each = resampled_sums(sums, [model], ["tp", "fp", "fn"], cluster, n_resamples, seed, shared=[])
+    f1 = F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    found = each.withColumn("f1", f1).groupBy(model).agg(F.percentile("f1", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("f1").alias("valid"))
+    return found.select(model, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), "valid")
+
+
+def clustered_statistic(sums: DataFrame, by: list[str], cluster: str, names: list[str], statistic: Column, n_resamples: int = 2000, seed: int = 0) -> DataFrame:
+    """by..., interval of a statistic of sums over resampled clusters; sums has a row (by, cluster, names...) for each cluster."""
+    each = resampled_sums(sums, by, names, cluster, n_resamples, seed).withColumn("x", statistic)
+    return each.groupBy(*by).agg(F.percentile("x", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(*by, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"))
+
+
 def paired_model_differences(rows: DataFrame, model: str, cluster: str, n_resamples: int, seed: int) -> DataFrame:
     """first, second, mean difference and interval of accuracy between all pairs of models, over shared draws."""
     sums = rows.groupBy(model, cluster).agg(F.sum("correct").alias("correct"), F.count(F.lit(1)).alias("rows"))

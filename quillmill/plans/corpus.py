@@ -289,6 +289,16 @@ def a42_corpus_bleu(spark, d):
     return sums.select("part", M.corpus_bleu({n: F.col(n) for n in M.SUMS}).alias("bleu"))
 
 
+@query()
+def t9_corpus_bleu(spark, d):
+    """The interval of corpus BLEU by role, conversations resampled, from summed statistics."""
+    from quillmill.operators import stats as St
+
+    t = _turns(spark, d).withColumn("part", F.col("turn") % 2)
+    sums = t.select("part", "conv_id", M.bleu_statistics(F.col("ref"), F.col("cand")).alias("s")).select("part", "conv_id", "s.*").groupBy("part", "conv_id").agg(*[F.sum(n).alias(n) for n in M.SUMS])
+    return St.clustered_statistic(sums, ["part"], "conv_id", list(M.SUMS), M.corpus_bleu({n: F.col(n) for n in M.SUMS}), 2000, 13)
+
+
 @query(f"""WITH {CONV}, g AS (SELECT conv_id, turn, list_distinct({_words_sql('ref')}) AS a, list_distinct({_words_sql('cand')}) AS b FROM cv)
 SELECT conv_id, turn, CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) END AS jaccard FROM g""", ["jaccard"])
 def f19_jaccard(spark, d):

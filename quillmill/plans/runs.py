@@ -227,6 +227,29 @@ def t3_model_differences(spark, d):
     return St.paired_model_differences(rows, "model", "cluster", 2000, 5)
 
 
+@query(f"""WITH {DECISIONS}, cl AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM dec)),
+s AS (SELECT max(n) AS n FROM cl), rep AS (SELECT b, {DRAW.format(seed=7)} AS place FROM s, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
+m AS (SELECT b, place, count(*) AS times FROM rep GROUP BY 1, 2), c AS (SELECT model, place, p, sum(y) AS pos, sum(1 - y) AS neg FROM dec JOIN cl USING (cluster) GROUP BY 1, 2, 3),
+e AS (SELECT model, b, p, sum(pos * times) AS pos, sum(neg * times) AS neg FROM c JOIN m USING (place) GROUP BY 1, 2, 3),
+r AS (SELECT model, b, pos, neg, sum(neg) OVER (PARTITION BY model, b ORDER BY p) - neg AS below FROM e),
+a AS (SELECT model, b, CAST(sum(pos * (below + neg / 2.0)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS auc FROM r GROUP BY 1, 2 HAVING sum(pos) > 0 AND sum(neg) > 0)
+SELECT model, quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high, count(*) AS valid FROM a GROUP BY model""", ["ci_low", "ci_high"])
+def t14_clustered_auc(spark, d):
+    """The area under the curve over resampled clusters, ties by cumulative sums; replicates of one class left out."""
+    return St.clustered_auc(decisions(spark, d).select("model", "cluster", "p", "y"), "model", "cluster", "p", "y", 2000, 7)
+
+
+@query(f"""WITH {DECISIONS}, c AS (SELECT model, cluster, count(*) FILTER (WHERE y = 1 AND decision = 'Accept') AS tp, count(*) FILTER (WHERE y = 0 AND decision = 'Accept') AS fp, count(*) FILTER (WHERE y = 1 AND decision <> 'Accept') AS fn FROM dec WHERE p >= 0.1 GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY cluster) - 1 AS place, count(*) OVER (PARTITION BY model) AS n FROM c),
+s AS (SELECT max(n) AS n FROM k), rep AS (SELECT b, {DRAW.format(seed=9)} AS place FROM s, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
+x AS (SELECT model, b, 2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0) AS x FROM rep JOIN k USING (place) GROUP BY 1, 2)
+SELECT model, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high, count(x) AS valid FROM x GROUP BY model""", ["ci_low", "ci_high"])
+def t5_clustered_f1(spark, d):
+    """T5: F1 over resampled clusters, unresolved rows left out of each replicate."""
+    x = decisions(spark, d).select("model", "cluster", "y", F.when(F.col("p") >= 0.1, (F.col("decision") == "Accept").cast("int")).alias("predicted"))
+    return St.clustered_f1(x, "model", "cluster", "y", "predicted", 2000, 9)
+
+
 @query(f"""WITH {ARMS}, t AS (SELECT arm, sample_id % 10 AS test, (CAST(round(avg(metric) * 100) AS BIGINT) % 100) / 1000.0 AS p FROM arms GROUP BY 1, 2),
 s AS (SELECT *, (count(*) OVER (PARTITION BY arm) - row_number() OVER (PARTITION BY arm ORDER BY p, test) + 1) * p AS s, row_number() OVER (PARTITION BY arm ORDER BY p, test) AS rn FROM t)
 SELECT arm, test, p, least(1.0, max(s) OVER (PARTITION BY arm ORDER BY rn)) AS p_adjusted FROM s""", ["p", "p_adjusted"])

@@ -79,3 +79,9 @@ def test_model_differences_take_2000_resamples(spark):
     want = St.paired_model_differences(rows_, "model", "cluster", 2000, 5).toPandas()
     got = plans.QUERIES["t3_model_differences"](spark, SF).toPandas()
     assert rows(got.round(6)) == rows(want.round(6)) != rows(St.paired_model_differences(rows_, "model", "cluster", 60, 5).toPandas().round(6))
+
+
+def test_interval_of_corpus_bleu_holds_the_point(spark):
+    point = {r.part: r.bleu for r in plans.QUERIES["a42_corpus_bleu"](spark, SF).collect()}
+    got = {r.part: (r.ci_low, r.ci_high) for r in plans.QUERIES["t9_corpus_bleu"](spark, SF).collect()}
+    assert set(got) == set(point) and all(low <= point[k] <= high for k, (low, high) in got.items())
