@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 from collections import Counter
 from collections.abc import Callable, Sequence
 
@@ -227,3 +228,46 @@ def corpus_bleu(sums: dict[str, Column]) -> Column:
 def task_metric(task: Column, ref: Column, cand: Column) -> Column:
     """The metric that a task is scored by; 0 for an unknown one."""
     return F.when(task == "wmt19_en_zh", bleu_chars(ref, cand)).when(task == "wmt19_zh_en", bleu_words(ref, cand)).when(task == "coedit_gec", gleu_like(ref, cand)).when(task == "gigaword", rouge1_f1(ref, cand)).otherwise(F.lit(0.0))
+
+
+#: Orders of character and of word n-grams in chrF++, and the weight of recall.
+CHRF_CHARS, CHRF_WORDS, CHRF_BETA = 6, 2, 2
+CHRF_SUMS = tuple(f"{what}{k}" for k in range(CHRF_CHARS + CHRF_WORDS) for what in ("cand", "ref", "both"))
+
+
+def _parted_words(text: str) -> list[str]:
+    """Words by white space, a mark at an end, or else at the start, of a longer word apart."""
+    out: list[str] = []
+    for word in text.split():
+        if len(word) > 1 and word[-1] in string.punctuation:
+            out += [word[:-1], word[-1]]
+        elif len(word) > 1 and word[0] in string.punctuation:
+            out += [word[0], word[1:]]
+        else:
+            out.append(word)
+    return out
+
+
+@pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in CHRF_SUMS]))
+def chrf_statistics(ref: pd.Series, cand: pd.Series) -> pd.DataFrame:
+    """For each order the candidate's n-grams (none where the reference has none), the reference's and those in common."""
+    rows = []
+    for r, c in zip(ref, cand):
+        sides = ((_char_list(r or ""), _char_list(c or ""), CHRF_CHARS), (_parted_words(r or ""), _parted_words(c or ""), CHRF_WORDS))
+        row: list[int] = []
+        for a, b, orders in sides:
+            for n in range(1, orders + 1):
+                x, y = _plain(a, n), _plain(b, n)
+                row += [sum(y.values()) if x else 0, sum(x.values()), _shared(y, x)]
+        rows.append(row)
+    return pd.DataFrame(rows, columns=list(CHRF_SUMS))
+
+
+def corpus_chrf(sums: dict[str, Column]) -> Column:
+    """chrF++ of summed statistics, 0 to 100: precision and recall averaged over the orders that both sides have."""
+    orders = range(CHRF_CHARS + CHRF_WORDS)
+    live = [(sums[f"cand{k}"] > 0) & (sums[f"ref{k}"] > 0) for k in orders]
+    mean = lambda side: sum((F.when(x, sums[f"both{k}"] / sums[f"{side}{k}"]).otherwise(0.0) for k, x in zip(orders, live)), F.lit(0.0))
+    n = sum((x.cast("int") for x in live), F.lit(0))
+    p, r = F.try_divide(mean("cand"), n), F.try_divide(mean("ref"), n)
+    return F.coalesce(F.try_divide(100 * (1 + CHRF_BETA**2) * p * r, CHRF_BETA**2 * p + r), F.lit(0.0))

@@ -82,6 +82,28 @@ def chain_violations(traces: DataFrame) -> DataFrame:
     return traces.withColumn("violations", F.aggregate("rounds", start, step, done))
 
 
+def record_violations(records: DataFrame, temperatures: list[float]) -> DataFrame:
+    """Adds violations, in order: codes of what a collected record breaks.
+
+    A record has ``source_hash`` against ``source``, and ``candidates`` array<struct<slot, request, request_hash, prompt,
+    seed, temperature>>. request: a hash that isn't the request's; count: not one candidate a planned temperature;
+    temperature: not the planned one of its slot; seed: two candidates with one seed; prompt: two different prompts;
+    source: another source than recorded. Null candidates count as none.
+    """
+    c = F.coalesce("candidates", F.slice("candidates", 1, 0), F.array().cast(records.schema["candidates"].dataType))
+    planned = F.array(*map(F.lit, temperatures))
+    distinct = lambda f: F.size(F.array_distinct(F.transform(c, f)))
+    codes = [
+        (F.sha2("source", 256) != F.col("source_hash"), "source"),
+        (F.size(c) != len(temperatures), "count"),
+        (F.exists(c, lambda x: F.sha2(x["request"], 256) != x["request_hash"]), "request"),
+        (F.exists(c, lambda x: F.coalesce(x["temperature"] != F.get(planned, x["slot"]), F.lit(True))), "temperature"),
+        (distinct(lambda x: x["seed"]) < F.size(c), "seed"),
+        (distinct(lambda x: x["prompt"]) > 1, "prompt"),
+    ]
+    return records.withColumn("violations", F.filter(F.array(*[F.when(broken, F.lit(name)) for broken, name in codes]), lambda x: x.isNotNull()))
+
+
 def flatten_candidates(states: DataFrame) -> DataFrame:
     """sample_id, state_index, before, slot, candidate, valid, identical of states(sample_id, states array<struct<before, candidates array<struct>>>)."""
     s = states.select("sample_id", F.posexplode("states").alias("state_index", "s"))

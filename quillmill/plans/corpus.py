@@ -289,6 +289,14 @@ def a42_corpus_bleu(spark, d):
     return sums.select("part", M.corpus_bleu({n: F.col(n) for n in M.SUMS}).alias("bleu"))
 
 
+@query()
+def a42_corpus_chrf(spark, d):
+    """Corpus chrF++ by role from summed statistics."""
+    t = _turns(spark, d).withColumn("part", F.col("turn") % 2)
+    sums = t.select("part", M.chrf_statistics(F.col("ref"), F.col("cand")).alias("s")).select("part", "s.*").groupBy("part").agg(*[F.sum(n).alias(n) for n in M.CHRF_SUMS])
+    return sums.select("part", M.corpus_chrf({n: F.col(n) for n in M.CHRF_SUMS}).alias("chrf"))
+
+
 @query()
 def t9_corpus_bleu(spark, d):
     """The interval of corpus BLEU by role, conversations resampled, from summed statistics."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules
@@ -163,3 +164,19 @@ def s9_coalesced(spark, d):
 def l7_hash_sample(spark, d):
     """The first seven in the order of a salted hash; the number is the operator's."""
     return S.hash_order(table(spark, d, "supplier").select("s_suppkey"), "pilot", "s_suppkey", 7)
+
+
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS slot, CASE WHEN o_orderkey % 11 = 0 THEN 'other' ELSE o_orderstatus || o_orderkey END AS hashed, o_orderstatus || o_orderkey AS request, o_orderpriority AS prompt, o_orderkey % 1000 AS seed FROM orders),
+g AS (SELECT o_custkey, count(*) AS n, bool_or(hashed <> request) AS request, bool_or(slot > 2 OR slot % 2 <> CASE slot WHEN 1 THEN 1 ELSE 0 END OR o_orderkey % 13 = 0) AS temperature, count(DISTINCT seed) < count(*) AS seed, count(DISTINCT prompt) > 1 AS prompt FROM r GROUP BY 1)
+SELECT o_custkey, concat_ws(',', CASE WHEN o_custkey % 7 = 0 THEN 'source' END, CASE WHEN n <> 3 THEN 'count' END, CASE WHEN request THEN 'request' END, CASE WHEN temperature THEN 'temperature' END, CASE WHEN seed THEN 'seed' END, CASE WHEN prompt THEN 'prompt' END) AS violations FROM g""")
+def g8_record_audit(spark, d):
+    """Collected records against their plan: sources, slots, hashes, temperatures, seeds, one prompt."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    slot = (F.row_number().over(w) - 1).cast("int")
+    request = F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))
+    o = table(spark, d, "orders").withColumn("slot", slot).withColumn("request", request)
+    one = F.struct("slot", "request", F.sha2(F.when(F.col("o_orderkey") % 11 == 0, "other").otherwise(F.col("request")), 256).alias("request_hash"), F.col("o_orderpriority").alias("prompt"), (F.col("o_orderkey") % 1000).alias("seed"), F.when(F.col("o_orderkey") % 13 == 0, 0.9).otherwise(F.when(F.col("slot") % 2 == 1, 0.7).otherwise(0.1)).alias("temperature"))
+    records = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    key = F.col("o_custkey").cast("string")
+    records = records.withColumn("source", key).withColumn("source_hash", F.sha2(F.when(F.col("o_custkey") % 7 == 0, "else").otherwise(key), 256))
+    return G.record_violations(records, [0.1, 0.7, 0.1]).select("o_custkey", F.array_join("violations", ",").alias("violations"))

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillmill import plans
+from quillmill.functions import metrics as M
 from quillmill.operators import stats as St
 from quillmill.operators.graph import pick
 from quillmill.plans.bindings import decisions
@@ -85,3 +86,13 @@ def test_interval_of_corpus_bleu_holds_the_point(spark):
     point = {r.part: r.bleu for r in plans.QUERIES["a42_corpus_bleu"](spark, SF).collect()}
     got = {r.part: (r.ci_low, r.ci_high) for r in plans.QUERIES["t9_corpus_bleu"](spark, SF).collect()}
     assert set(got) == set(point) and all(low <= point[k] <= high for k, (low, high) in got.items())
+
+
+def test_chrf_by_hand(spark):
+    rows = [("ab cd", "ab cd"), ("the cat.", "the dog."), ("", "x")]
+    sums = spark.createDataFrame(rows, "ref string, cand string").select("ref", M.chrf_statistics(F.col("ref"), F.col("cand")).alias("s")).select("ref", "s.*")
+    got = {r.ref: r for r in sums.withColumn("x", M.corpus_chrf({n: F.col(n) for n in M.CHRF_SUMS})).collect()}
+    assert got["ab cd"].x == 100.0 and got[""].x == 0.0
+    # of "thecat." and "thedog." four of seven letters agree, two of six pairs, one of five triples; of three words two, of two pairs none
+    share = (4 / 7 + 2 / 6 + 1 / 5 + 0 + 0 + 0 + 2 / 3 + 0) / 8
+    assert abs(got["the cat."].x - 100 * share) < 1e-9 and got["the cat."].ref6 == 3
