@@ -14,7 +14,7 @@ from quillmill.operators import replay as G
 from quillmill.operators import retrieval as R
 from quillmill.operators import sampling as S
 from quillmill.plans.registry import query
-from quillmill.sources.readers import coalesced, projected, table
+from quillmill.sources.readers import coalesced, first_rows, projected, table
 
 
 def _lines(spark, d):
@@ -180,3 +180,23 @@ def g8_record_audit(spark, d):
     key = F.col("o_custkey").cast("string")
     records = records.withColumn("source", key).withColumn("source_hash", F.sha2(F.when(F.col("o_custkey") % 7 == 0, "else").otherwise(key), 256))
     return G.record_violations(records, [0.1, 0.7, 0.1]).select("o_custkey", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""SELECT o_orderkey, sha256(concat_ws(chr(31), CASE WHEN o_custkey % 4 <> 0 THEN 'depth=' || o_custkey % 4 END, 'mode=' || o_orderstatus, CASE WHEN o_orderpriority <> '1-URGENT' THEN 'renderer=' || o_orderpriority END)) AS config FROM orders""")
+def f39_config_hash(spark, d):
+    """a hash of settings that leaves out those at their default."""
+    fields = {"renderer": F.col("o_orderpriority"), "mode": F.col("o_orderstatus"), "depth": F.col("o_custkey") % 4}
+    return table(spark, d, "orders").select("o_orderkey", T.config_hash(fields, {"renderer": "1-URGENT", "depth": 0}).alias("config"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100""")
+def l1_first_rows(spark, d):
+    """The first hundred in the source's order; the number is the operator's."""
+    return first_rows(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
+
+
+@query("""SELECT user_id, avg(TRY_CAST(CASE WHEN event_id % 3 = 0 THEN 'n/a' WHEN event_id % 3 = 1 THEN json_extract_string(props, '$.k') END AS DOUBLE)) AS mean FROM events GROUP BY 1""", ["mean"])
+def a14_tolerant_mean(spark, d):
+    """The mean of what reads as a number."""
+    text = F.when(F.col("event_id") % 3 == 0, "n/a").when(F.col("event_id") % 3 == 1, F.get_json_object("props", "$.k"))
+    return table(spark, d, "events").withColumn("x", text.try_cast("double")).groupBy("user_id").agg(F.avg("x").alias("mean"))

@@ -185,3 +185,25 @@ def test_exclusion_by_either_key(spark):
 def test_self_consistency():
     assert pick(["the cat sat", "the cat sat down", "a dog ran", "the cat sat"]) in (0, 3)
     assert pick(["only"]) == 0
+
+
+def test_seeds_orders_and_dispatch(spark):
+    import zlib
+
+    from quillmill.functions import metrics as M
+    from quillmill.functions import text as T
+    from quillmill.operators import pairs as P
+    from quillmill.sources import writers as W
+
+    df = spark.createDataFrame([("abc",), ("é",)], "t string")
+    assert [r.s for r in df.select(T.crc_seed(F.col("t"), 77).alias("s")).collect()] == [(zlib.crc32(t.encode()) ^ 77) % 2**31 for t in ("abc", "é")]
+    rows, manifest = spark.createDataFrame([(i,) for i in range(4)], "id int"), spark.createDataFrame([(2, 0), (0, 1)], "id int, place int")
+    assert [r.id for r in W.in_manifest_order(rows, manifest, "id", "place").collect()] == [2, 0, 1, 3]
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c")], "current string, candidate string")
+    assert P.require_changed(pairs).count() == 2
+    with pytest.raises(Exception, match="no-op"):
+        P.require_changed(pairs.union(spark.createDataFrame([("x", "x")], pairs.schema))).collect()
+    tasks = spark.createDataFrame([("wmt19_en_zh", "你好", "你好"), ("gigaword", "a b", "a c"), ("none", "a", "a")], "task string, r string, c string")
+    assert [r.m for r in tasks.select(M.task_metric(F.col("task"), F.col("r"), F.col("c")).alias("m")).collect()][1:] == [0.5, 0.0]
+    library = spark.createDataFrame([(i,) for i in range(5)], "id int")
+    assert R.fingerprint(library, "id").first() == R.fingerprint(library.orderBy(F.col("id").desc()), "id").first() != R.fingerprint(library.limit(4), "id").first()
