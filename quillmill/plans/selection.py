@@ -21,13 +21,13 @@ def _lines(spark, d):
     return table(spark, d, "lineitem")
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount AS better, l_tax AS tie, l_quantity / 500 AS worse FROM lineitem),
-k AS (SELECT * FROM c WHERE better > greatest(tie, worse) AND better - worse >= 0.02 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY better - worse DESC, better DESC, l_linenumber) = 1)
-SELECT o.l_orderkey, CAST(k.l_partkey AS VARCHAR) AS chosen FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN k USING (l_orderkey)""")
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, o_totalprice / 500000 AS better, (o_orderkey % 10) / 20.0 AS tie, (o_orderkey % 7) / 20.0 AS worse FROM orders),
+k AS (SELECT * FROM c WHERE better > greatest(tie, worse) AND better - worse >= 0.02 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY better - worse DESC, better DESC, o_orderkey) = 1)
+SELECT o.o_custkey, CAST(k.o_orderkey AS VARCHAR) AS chosen FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN k USING (o_custkey)""")
 def p29_best_by_margin(spark, d):
-    """Of an order's lines the one that leads by the margin."""
-    one = F.struct(F.col("l_linenumber").alias("slot"), F.col("l_partkey").cast("string").alias("text"), F.col("l_discount").alias("better"), F.col("l_tax").alias("tie"), (F.col("l_quantity") / 500).alias("worse"))
-    return _lines(spark, d).groupBy("l_orderkey").agg(F.collect_list(one).alias("c")).select("l_orderkey", rules.best_by_margin(F.col("c"), 0.02).alias("chosen"))
+    """Of a customer's orders the one that leads by the margin."""
+    one = F.struct(F.col("o_orderkey").alias("slot"), F.col("o_orderkey").cast("string").alias("text"), (F.col("o_totalprice") / 500000).alias("better"), (F.col("o_orderkey") % 10 / 20).alias("tie"), (F.col("o_orderkey") % 7 / 20).alias("worse"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(one).alias("c")).select("o_custkey", rules.best_by_margin(F.col("c"), 0.02).alias("chosen"))
 
 
 @query("""SELECT o_custkey, arg_min(CAST(o_orderkey AS VARCHAR), o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS chosen, count(*) FILTER (WHERE o_orderpriority NOT LIKE '1%') AS n_failed, max(o_totalprice) > 400000 AS stops FROM orders GROUP BY 1""")
@@ -63,9 +63,9 @@ def j15_two_calls(spark, d):
 @query("""WITH a AS (SELECT l_suppkey AS query, l_partkey AS doc, sum(l_quantity) AS raw FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2), b AS (SELECT l_suppkey AS query, l_partkey AS doc, sum(l_tax) AS raw FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
 na AS (SELECT query, doc, CASE WHEN max(raw) OVER w - min(raw) OVER w <= 1e-12 THEN 1.0 ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END AS norm FROM a WINDOW w AS (PARTITION BY query)),
 nb AS (SELECT query, doc, CASE WHEN max(raw) OVER w - min(raw) OVER w <= 1e-12 THEN 1.0 ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END AS norm FROM b WINDOW w AS (PARTITION BY query))
-SELECT query, doc, coalesce(na.norm, 0) AS norm_a, coalesce(nb.norm, 0) AS norm_b, 0.7 * coalesce(na.norm, 0) + 0.3 * coalesce(nb.norm, 0) AS score FROM na FULL JOIN nb USING (query, doc)""", ["norm_a", "norm_b", "score"])
+SELECT query, doc, coalesce(na.norm, 0) AS norm_a, coalesce(nb.norm, 0) AS norm_b, round(0.7 * coalesce(na.norm, 0) + 0.3 * coalesce(nb.norm, 0), 9) AS score FROM na FULL JOIN nb USING (query, doc)""", ["norm_a", "norm_b", "score"])
 def r3_two_fields(spark, d):
-    """Scores of two fields, each scaled within its query, combined; a field without a score counts 0."""
+    """Scores of two fields, each scaled within its query, combined to nine digits; a field without a score counts 0."""
     part = lambda flag, c: R.min_max(_lines(spark, d).where(F.col("l_returnflag") == flag).groupBy(F.col("l_suppkey").alias("query"), F.col("l_partkey").alias("doc")).agg(F.sum(c).alias("raw")))
     return R.combine(part("A", "l_quantity"), part("R", "l_tax"), 0.7)
 
