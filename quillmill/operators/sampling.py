@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import composite_key
+from quillmill.operators.ordered import placed
 
 
 def hash_order(df: DataFrame, salt: str, id_col: str, n: int | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def round_robin(df: DataFrame, stratum: str, salt: str, id_col: str, n: int) ->
 def spread(n: Column, k: int) -> Column:
     """k places spread evenly over 0..n - 1, rounded half to even; all of fewer."""
     even = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(k - 1, 0))), lambda i: F.rint(i * (n - 1) / F.lit(max(k - 1, 1))).cast("int")))
-    return F.when(F.lit(k) <= 0, F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(0), n.cast("int") - 1)).when(F.lit(k) == 1, F.array(F.floor(n / 2).cast("int"))).otherwise(even)
+    return F.when((F.lit(k) <= 0) | (n <= 0), F.array().cast("array<int>")).when(n <= k, F.sequence(F.lit(0), n.cast("int") - 1)).when(F.lit(k) == 1, F.array(F.floor(n / 2).cast("int"))).otherwise(even)
 
 
 def allocate(cells: DataFrame, order: str, avail: str, budget: int) -> DataFrame:
@@ -62,15 +63,15 @@ def allocate(cells: DataFrame, order: str, avail: str, budget: int) -> DataFrame
 
 def top_share(df: DataFrame, score: str, id_col: str, share: float) -> DataFrame:
     """The rows of largest score, ids breaking ties upwards: the share of all rows, rounded up."""
-    n = df.count()
-    import math
-
-    return df.orderBy(F.col(score).desc(), F.col(id_col)).limit(math.ceil(share * n))
+    n = df.agg(F.ceil(F.lit(share) * F.count(F.lit(1))).alias("__n"))
+    return placed(df, [F.col(score).desc(), F.col(id_col)], "__at").crossJoin(F.broadcast(n)).where("__at < __n").drop("__at", "__n")
 
 
 def in_batches(df: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
-    """Adds batch: position in order, by groups if given, div size."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
+    """Adds batch: position in order, over all rows or by groups, div size."""
+    if not by:
+        return placed(df, [F.col(c) for c in order], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
+    w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
 
 

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import hash_draw
+from quillmill.operators.ordered import running
+
+#: Draws that one row of a replicate stands for, before they are made.
+DRAWS = 1 << 16
 
 
 def point_metrics(df: DataFrame, by: list[str], truth: str = "label", decision: str = "decision", delta: str = "delta") -> DataFrame:
@@ -77,9 +81,15 @@ def numbered(df: DataFrame, by: list[str], order: str) -> DataFrame:
     return df.withColumn("place", F.row_number().over(w.orderBy(order)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
 
 
-def replicates(spark_df: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
-    """by..., replicate, place: n draws a replicate for each group of a table (by..., n)."""
-    return spark_df.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate")).select(*by, "n", "replicate", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("i")).select(*by, "replicate", hash_draw(F.col("n"), F.lit(seed), F.col("replicate"), F.col("i")).alias("place"))
+def replicates(groups: DataFrame, by: list[str], b: int, seed: int) -> DataFrame:
+    """by..., replicate, place: n draws a replicate for each group of a table (by..., n).
+
+    Blocks of draws are dealt over all tasks before the draws are made: a group's draws are the work of many.
+    """
+    each = groups.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("replicate"))
+    blocks = each.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1, F.lit(DRAWS).cast("long")))).repartition(*by, "replicate", "first")
+    draws = blocks.withColumn("i", F.explode(F.sequence("first", F.least(F.col("first") + DRAWS, F.col("n").cast("long")) - 1)))
+    return draws.select(*by, "replicate", hash_draw(F.col("n"), F.lit(seed), F.col("replicate"), F.col("i")).alias("place"))
 
 
 def resampled_sums(clusters: DataFrame, by: list[str], sums: list[str], order: str, b: int, seed: int, shared: list[str] | None = None) -> DataFrame:
@@ -179,8 +189,8 @@ def nearest_rank(df: DataFrame, by: list[str], value: str, q: float = 0.95) -> D
 def best_threshold(df: DataFrame, score: str, good: str, least: int = 20) -> DataFrame:
     """One row: of all distinct scores as inclusive thresholds that accept enough, the one of best precision, then most accepted."""
     n = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(good).alias("k"))
-    w = Window.orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = n.select(F.col(score).alias("threshold"), F.sum("n").over(w).alias("accepted"), F.sum("k").over(w).alias("hits")).where(F.col("accepted") >= least).withColumn("precision", F.col("hits") / F.col("accepted"))
+    upto = running(n, [F.col(score).desc()], {"accepted": F.col("n"), "hits": F.col("k")})
+    c = upto.select(F.col(score).alias("threshold"), "accepted", "hits").where(F.col("accepted") >= least).withColumn("precision", F.col("hits") / F.col("accepted"))
     return c.agg(F.max_by(F.struct("threshold", "accepted", "hits", "precision"), F.struct("precision", "accepted")).alias("x")).select("x.*")
 
 

@@ -110,3 +110,6 @@ dec AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_linestatus AS model, l
   CASE WHEN l_discount > 0.05 THEN 'Accept' ELSE 'Reject' END AS decision, l_tax - 0.04 AS delta,
   round((l_quantity + 0.5) / 52, 6) AS p, CAST(l_returnflag = 'R' AS INT) AS y FROM lineitem)
 """
+
+#: Place of a draw among n, of replicate b and number i: what hash_draw gives.
+DRAW = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8)) AS BIGINT) % n"

@@ -13,6 +13,7 @@ from quillmill.operators import joins as J
 from quillmill.operators import pairs as P
 from quillmill.operators import retrieval as R
 from quillmill.operators import sampling as S
+from quillmill.plans.bindings import DRAW
 from quillmill.plans.registry import query
 from quillmill.sources.readers import table
 
@@ -273,15 +274,45 @@ def f13_rouge1(spark, d):
     return _turns(spark, d).select("conv_id", "turn", M.rouge1_f1(F.col("ref"), F.col("cand")).alias("f1"))
 
 
-@query()
+# Tokens of both sides by kind (characters, words, words by white space), their n-grams with counts, and clipped matches.
+GRAMS = rf"""{CONV.strip()},
+side AS (SELECT conv_id, turn, 'ref' AS side, ref AS text FROM cv UNION ALL SELECT conv_id, turn, 'cand', cand FROM cv),
+tok AS (SELECT conv_id, turn, side, 'c' AS kind, regexp_extract_all(regexp_replace(text, '\s', '', 'g'), '(?s).') AS t FROM side
+  UNION ALL SELECT conv_id, turn, side, 'w', {_words_sql('text')} FROM side UNION ALL SELECT conv_id, turn, side, 's', regexp_extract_all(text, '\S+') FROM side),
+len AS (SELECT conv_id, turn, kind, max(len(t)) FILTER (WHERE side = 'ref') AS nr, max(len(t)) FILTER (WHERE side = 'cand') AS nc FROM tok GROUP BY ALL),
+place AS (SELECT conv_id, turn, side, kind, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM tok, range(1, 5) AS o(n)),
+gram AS (SELECT conv_id, turn, side, kind, n, array_to_string(t[i : i + n - 1], chr(31)) AS g, count(*) AS k FROM place GROUP BY ALL),
+hit AS (SELECT a.conv_id, a.turn, a.kind, a.n, sum(least(a.k, b.k)) AS h FROM gram a JOIN gram b USING (conv_id, turn, kind, n, g) WHERE a.side = 'ref' AND b.side = 'cand' GROUP BY ALL),
+ord AS (SELECT len.*, n, greatest(0, nr - n + 1) AS tr, greatest(0, nc - n + 1) AS tc, CAST(coalesce(h, 0) AS BIGINT) AS h FROM len CROSS JOIN range(1, 5) AS o(n) LEFT JOIN hit USING (conv_id, turn, kind, n))"""
+
+
+@query(f"""WITH {GRAMS}, m AS (SELECT conv_id, turn, kind, any_value(nr) AS nr, any_value(nc) AS nc, least(1, exp(1 - any_value(nr) / CAST(greatest(1, any_value(nc)) AS DOUBLE))) AS brevity,
+exp(sum(ln(CASE WHEN h > 0 THEN h / CAST(greatest(1, tc) AS DOUBLE) ELSE 1e-9 END)) / 4) AS plain, exp(sum(CASE WHEN tc > 0 THEN ln(CASE WHEN h > 0 THEN h / CAST(tc AS DOUBLE) ELSE 1e-9 END) ELSE 0 END) / 4) AS skipping,
+exp(sum(ln(CASE WHEN h > 0 THEN h ELSE 0.1 END / CAST(greatest(1, tc) AS DOUBLE))) / 4) AS smooth, max(CASE WHEN n = 1 THEN h END) AS first, sum(h) / CAST(greatest(1, sum(tr), sum(tc)) AS DOUBLE) AS pooled,
+coalesce(avg(CASE WHEN tr > 0 AND tc > 0 THEN h / CAST(greatest(tr, tc) AS DOUBLE) END), 0) AS lesser FROM ord GROUP BY ALL), z AS (SELECT *, nr > 0 AND nc > 0 AS told FROM m)
+SELECT conv_id, turn, max(CASE WHEN kind = 'c' THEN CASE WHEN told THEN brevity * plain ELSE 0 END END) AS bleu_chars, max(CASE WHEN kind = 'w' THEN CASE WHEN told THEN brevity * plain ELSE 0 END END) AS bleu_words,
+max(CASE WHEN kind = 'w' THEN CASE WHEN told THEN brevity * skipping ELSE 0 END END) AS proxy, max(CASE WHEN kind = 'c' THEN CASE WHEN told AND first > 0 THEN brevity * smooth ELSE 0 END END) AS smoothed,
+max(CASE WHEN kind = 's' THEN CASE WHEN told THEN pooled ELSE 0 END END) AS gleu, max(CASE WHEN kind = 'w' THEN lesser END) AS gleu_like FROM z GROUP BY conv_id, turn""", ["bleu_chars", "bleu_words", "proxy", "smoothed", "gleu", "gleu_like"])
 def f10_text_metrics(spark, d):
-    """All metrics of a turn against the one before; hand-computed cases are in the tests."""
+    """Metrics of a turn against the one before."""
     r, c = F.col("ref"), F.col("cand")
     t = _turns(spark, d)
-    return t.select("conv_id", "turn", M.bleu_chars(r, c).alias("bleu_chars"), M.bleu_words(r, c).alias("bleu_words"), M.sentence_bleu_proxy(r, c).alias("proxy"), M.bleu_smoothed_chars(r, c).alias("smoothed"), M.sentence_gleu(r, c).alias("gleu"), M.gleu_like(r, c).alias("gleu_like"), M.rouge(r, c).alias("rouge"))
+    return t.select("conv_id", "turn", M.bleu_chars(r, c).alias("bleu_chars"), M.bleu_words(r, c).alias("bleu_words"), M.sentence_bleu_proxy(r, c).alias("proxy"), M.bleu_smoothed_chars(r, c).alias("smoothed"), M.sentence_gleu(r, c).alias("gleu"), M.gleu_like(r, c).alias("gleu_like"))
 
 
 @query()
+def f14_rouge(spark, d):
+    """stemmed overlap of a turn with the one before; hand-computed cases are in the tests."""
+    return _turns(spark, d).select("conv_id", "turn", M.rouge(F.col("ref"), F.col("cand")).alias("r")).select("conv_id", "turn", "r.*")
+
+
+# Sums for corpus BLEU by parity of the turn and conversation.
+BLEU_SUMS = f"""{GRAMS}, sums AS (SELECT turn % 2 AS part, conv_id, sum(CASE WHEN n = 1 THEN nr END) AS nr, sum(CASE WHEN n = 1 THEN nc END) AS nc,
+{', '.join(f"sum(CASE WHEN n = {n} THEN h END) AS m{n}, sum(CASE WHEN n = {n} THEN tc END) AS t{n}" for n in range(1, 5))} FROM ord WHERE kind = 'w' GROUP BY ALL)"""
+_BLEU = "CASE WHEN least(sum(m1), sum(m2), sum(m3), sum(m4)) > 0 THEN 100 * exp(least(0, 1 - sum(nr) / CAST(sum(nc) AS DOUBLE)) + (ln(sum(m1) / CAST(sum(t1) AS DOUBLE)) + ln(sum(m2) / CAST(sum(t2) AS DOUBLE)) + ln(sum(m3) / CAST(sum(t3) AS DOUBLE)) + ln(sum(m4) / CAST(sum(t4) AS DOUBLE))) / 4) ELSE 0 END"
+
+
+@query(f"""WITH {BLEU_SUMS} SELECT part, {_BLEU} AS bleu FROM sums GROUP BY part""", ["bleu"])
 def a42_corpus_bleu(spark, d):
     """Corpus BLEU by role from summed statistics."""
     t = _turns(spark, d).withColumn("part", F.col("turn") % 2)
@@ -289,7 +320,16 @@ def a42_corpus_bleu(spark, d):
     return sums.select("part", M.corpus_bleu({n: F.col(n) for n in M.SUMS}).alias("bleu"))
 
 
-@query()
+@query(rf"""WITH {CONV.strip()}, side AS (SELECT conv_id, turn, 'ref' AS side, ref AS text FROM cv UNION ALL SELECT conv_id, turn, 'cand', cand FROM cv),
+tok AS (SELECT conv_id, turn, side, 'c' AS kind, 6 AS most, regexp_extract_all(regexp_replace(text, '\s', '', 'g'), '(?s).') AS t FROM side UNION ALL
+  SELECT conv_id, turn, side, 'p', 2, flatten(list_transform(regexp_extract_all(text, '\S+'), lambda w: CASE WHEN length(w) > 1 AND regexp_matches(w, '[[:punct:]]$') THEN [w[:-2], w[-1]] WHEN length(w) > 1 AND regexp_matches(w, '^[[:punct:]]') THEN [w[1], w[2:]] ELSE [w] END)) FROM side),
+place AS (SELECT conv_id, turn, side, kind, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM tok, range(1, 7) AS o(n) WHERE n <= most),
+gram AS (SELECT conv_id, turn, side, kind, n, array_to_string(t[i : i + n - 1], chr(31)) AS g, count(*) AS k FROM place GROUP BY ALL),
+hit AS (SELECT a.turn % 2 AS part, a.kind, a.n, sum(least(a.k, b.k)) AS h FROM gram a JOIN gram b USING (conv_id, turn, kind, n, g) WHERE a.side = 'ref' AND b.side = 'cand' GROUP BY ALL),
+one AS (SELECT conv_id, turn, kind, n, coalesce(sum(k) FILTER (WHERE side = 'ref'), 0) AS r, coalesce(sum(k) FILTER (WHERE side = 'cand'), 0) AS c FROM gram GROUP BY ALL),
+tot AS (SELECT turn % 2 AS part, kind, n, sum(r) AS r, sum(CASE WHEN r > 0 THEN c ELSE 0 END) AS c FROM one GROUP BY ALL),
+pr AS (SELECT part, avg(coalesce(h, 0) / CAST(c AS DOUBLE)) AS p, avg(coalesce(h, 0) / CAST(r AS DOUBLE)) AS q FROM tot LEFT JOIN hit USING (part, kind, n) WHERE r > 0 AND c > 0 GROUP BY part)
+SELECT part, coalesce(100 * 5 * p * q / nullif(4 * p + q, 0), 0) AS chrf FROM pr""", ["chrf"])
 def a42_corpus_chrf(spark, d):
     """Corpus chrF++ by role from summed statistics."""
     t = _turns(spark, d).withColumn("part", F.col("turn") % 2)
@@ -297,7 +337,10 @@ def a42_corpus_chrf(spark, d):
     return sums.select("part", M.corpus_chrf({n: F.col(n) for n in M.CHRF_SUMS}).alias("chrf"))
 
 
-@query()
+@query(f"""WITH {BLEU_SUMS}, k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY conv_id) - 1 AS place, count(*) OVER (PARTITION BY part) AS n FROM sums),
+s AS (SELECT part, max(n) AS n FROM k GROUP BY 1), rep AS (SELECT part, b, {DRAW.format(seed=13)} AS place FROM s, range(2000) t(b), LATERAL (SELECT unnest(range(n)) AS i) u),
+x AS (SELECT part, b, {_BLEU} AS x FROM rep JOIN k USING (part, place) GROUP BY 1, 2)
+SELECT part, quantile_cont(x, 0.025) AS ci_low, quantile_cont(x, 0.975) AS ci_high FROM x GROUP BY part""", ["ci_low", "ci_high"])
 def t9_corpus_bleu(spark, d):
     """The interval of corpus BLEU by role, conversations resampled, from summed statistics."""
     from quillmill.operators import stats as St
@@ -366,7 +409,7 @@ def r10_self_consistent(spark, d):
     return G.self_consistent(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query()
+@query("""SELECT event_id, '$.event_type' AS path, event_type AS value FROM events WHERE event_type IS NOT NULL UNION ALL SELECT event_id, '$.inner.p', props FROM events WHERE props IS NOT NULL""")
 def f38_json_texts(spark, d):
     """All strings of a JSON value with their paths, by a table function."""
     from pyspark.sql.functions import lit
@@ -376,9 +419,16 @@ def f38_json_texts(spark, d):
     return spark.sql("SELECT event_id, t.path, t.value FROM quillmill_events_json, LATERAL json_texts(j) AS t")
 
 
-@query("SELECT conv_id, turn, trim(text) AS answer FROM conversations WHERE NOT contains(text, '<think>') AND NOT regexp_matches(text, '(### SPLIT ###|Refined Translation:|Refined Summary:|Corrected:|Summary:|Chinese:|English:)') AND NOT starts_with(trim(text), '\"') AND NOT ends_with(trim(text), '\"')")
+# Of each turn, wrapped in what the operator takes away again.
+ANSWERS = """a AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(CASE turn % 4 WHEN 0 THEN '<think>aside' || chr(10) || '</think> ' || text WHEN 1 THEN 'Draft first. Summary: "' || text || '"' WHEN 2 THEN text || '<think>cut off' ELSE text END, '(?s)<think>.*?</think>', '', 'g'), '(?s)<think>.*$', '')) AS t FROM conversations)"""
+_MARKED = "t"
+for _m in T.MARKERS:
+    _MARKED = f"(SELECT CASE WHEN contains(x, '{_m}') THEN trim(string_split(x, '{_m}')[-1]) ELSE x END FROM (SELECT {_MARKED} AS x))"
+
+
+@query(f"""WITH {ANSWERS} SELECT conv_id, turn, regexp_replace(regexp_replace(trim({_MARKED}), '^"+', ''), '"+$', '') AS answer FROM a""")
 def f20_answer(spark, d):
-    """F20 on texts without markers, which come out trimmed; the markers are in the tests."""
-    t = F.trim("text")
-    plain = ~F.col("text").rlike("<think>|### SPLIT ###|Refined Translation:|Refined Summary:|Corrected:|Summary:|Chinese:|English:") & ~t.startswith('"') & ~t.endswith('"')
-    return table(spark, d, "conversations").where(plain).select("conv_id", "turn", T.answer(F.col("text")).alias("answer"))
+    """answers without thinking, what stands before a marker, and quotes."""
+    k = F.col("turn") % 4
+    said = F.when(k == 0, F.concat(F.lit("<think>aside\n</think> "), "text")).when(k == 1, F.concat(F.lit('Draft first. Summary: "'), "text", F.lit('"'))).when(k == 2, F.concat("text", F.lit("<think>cut off"))).otherwise(F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.answer(said).alias("answer"))

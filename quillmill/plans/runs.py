@@ -11,7 +11,7 @@ from quillmill.operators import joins as J
 from quillmill.operators import replay as G
 from quillmill.operators import sampling as S
 from quillmill.operators import stats as St
-from quillmill.plans.bindings import ARMS, DECISIONS, ROUNDS, arms, decisions, rounds, traces
+from quillmill.plans.bindings import ARMS, DECISIONS, DRAW, ROUNDS, arms, decisions, rounds, traces
 from quillmill.plans.registry import query
 from quillmill.sources.readers import table
 
@@ -56,9 +56,17 @@ def g1_replay(spark, d):
     return G.replay(traces(spark, d), 1.2).select("sample_id", "replayed.*")
 
 
-@query()
+_GATED = "r.action = 'REFINE' AND r.event_type = 'purchase'"
+
+
+@query(f"""WITH RECURSIVE {ROUNDS}, s(sample_id, k, stored, gated, oracle, best) AS (
+SELECT DISTINCT sample_id, -1, 'draft', 'draft', 'draft', CAST(1 AS DOUBLE) FROM r UNION ALL
+SELECT s.sample_id, s.k + 1, CASE WHEN {_GATED} THEN r.candidate ELSE s.stored END, CASE WHEN {_GATED} AND length(r.candidate) <= 1.02 * greatest(1, length(s.gated)) THEN r.candidate ELSE s.gated END,
+CASE WHEN r.action = 'REFINE' AND r.value > s.best THEN r.candidate ELSE s.oracle END, CASE WHEN r.action = 'REFINE' AND r.value > s.best THEN r.value ELSE s.best END
+FROM s JOIN r ON r.sample_id = s.sample_id AND r.round_index = s.k + 1)
+SELECT sample_id, stored, gated, oracle, best FROM s QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY k DESC) = 1""", ["best"])
 def g2_replay_many(spark, d):
-    """Three replays and the best candidate in one fold; a test holds it against a loop."""
+    """Three replays and the best candidate in one fold; the oracle recurses, a test holds it against a loop."""
     return G.replay_many(traces(spark, d)).select("sample_id", "replays.*")
 
 
@@ -186,9 +194,6 @@ def f33_wilson(spark, d):
     return g.select("model", rules.wilson(F.col("k"), F.col("n")).alias("w")).select("model", "w.*")
 
 
-DRAW = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8)) AS BIGINT) % n"
-
-
 @query(f"""WITH {ARMS}, p AS (SELECT sample_id % 4 AS grp, sample_id, a.metric AS x, b.metric AS y, a.metric - b.metric AS d, row_number() OVER (PARTITION BY sample_id % 4 ORDER BY sample_id) - 1 AS place, count(*) OVER (PARTITION BY sample_id % 4) AS n
   FROM (SELECT * FROM arms WHERE arm = 'A') a JOIN (SELECT * FROM arms WHERE arm = 'R') b USING (sample_id)),
 g AS (SELECT grp, max(n) AS n, avg(x) AS mean_a, avg(y) AS mean_b, avg(d) AS diff FROM p GROUP BY grp),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.functions.text import split_of_path
+from quillmill.operators.ordered import placed
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,18 +33,17 @@ def coalesced(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
 
 
 def with_global_index(parts: dict[str, DataFrame], order: str) -> DataFrame:
-    """All splits in turn with split and a running index over all; no window over all rows: each split is numbered by itself."""
-    out, offset = [], 0
-    for name, df in parts.items():
-        w = Window.partitionBy("split").orderBy(order)
-        out.append(df.withColumn("split", F.lit(name)).withColumn("global_index", F.row_number().over(w) - 1 + F.lit(offset)))
-        offset += df.count()
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+    """All splits in turn, with split and a running index over all in the order of splits and, in each, of a column."""
+    tagged = [df.withColumn("split", F.lit(name)).withColumn("__turn", F.lit(turn)) for turn, (name, df) in enumerate(parts.items())]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return placed(rows, [F.col("__turn"), F.col(order)], "global_index").drop("__turn")
 
 
 def filtered_index(df: DataFrame, keep: Column, order: str, by: list[str] | None = None) -> DataFrame:
-    """The rows that are kept, numbered anew from 0."""
-    return df.where(keep).withColumn("filtered_index", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(order)) - 1)
+    """The rows that are kept, numbered anew from 0, over all or within groups."""
+    if not by:
+        return placed(df.where(keep), [F.col(order)], "filtered_index")
+    return df.where(keep).withColumn("filtered_index", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
 
 
 def csv(spark: SparkSession, path: str, usecols: list[str] | None = None) -> DataFrame:

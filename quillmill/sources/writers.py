@@ -13,8 +13,12 @@ def ragged_union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+#: Quotes doubled and white space kept, as the CSV scan (and any other reader of RFC 4180) expects them.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(parts: list[DataFrame], path: str) -> None:
-    ragged_union(parts).write.mode("errorifexists").csv(path, header=True)
+    ragged_union(parts).write.mode("errorifexists").csv(path, **CSV)
 
 
 def write_jsonl(df: DataFrame, path: str, order: str) -> None:
@@ -66,7 +70,7 @@ def review_package(pairs: DataFrame, path: str, salt: str) -> None:
     """Two disjoint tables: a blinded sheet (id, source, text A, text B) and the key that says which arm A is."""
     flip = F.substring(F.sha2(F.concat(F.lit(salt), F.col("id").cast("string")), 256), 1, 1) < "8"
     sheet = pairs.select("id", "source", F.when(flip, F.col("first")).otherwise(F.col("second")).alias("a"), F.when(flip, F.col("second")).otherwise(F.col("first")).alias("b"))
-    sheet.orderBy("id").write.mode("errorifexists").csv(f"{path}/sheet", header=True)
+    sheet.orderBy("id").write.mode("errorifexists").csv(f"{path}/sheet", **CSV)
     pairs.select("id", F.when(flip, F.col("first_arm")).otherwise(F.col("second_arm")).alias("arm_of_a")).orderBy("id").write.mode("errorifexists").json(f"{path}/key")
 
 

@@ -153,7 +153,7 @@ def test_allocation_redistributes(spark):
 
 def test_spread(spark):
     got = spark.createDataFrame([(10,), (3,), (0,)], "n int").select(S.spread(F.col("n"), 4).alias("s")).collect()
-    assert [list(r.s) for r in got][:2] == [[0, 3, 6, 9], [0, 1, 2]]
+    assert [list(r.s) for r in got] == [[0, 3, 6, 9], [0, 1, 2], []]
 
 
 def test_nearest_rank_is_not_interpolated(spark):
