@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import json_object, norm
+from quillmill.functions.text import json_object, norm, strip
 
 _HAN = r"[\x{3400}-\x{9fff}]"
 
@@ -22,7 +22,7 @@ def _marked(text: Column) -> Column:
 
 def format_reason(finish: Column, text: Column) -> Column:
     """Null or what is wrong: not stopped (the finish reason), empty, format."""
-    return F.when(~finish.eqNullSafe(F.lit("stop")), F.coalesce(finish, F.lit("generation_failure"))).when(F.trim(F.coalesce(text, F.lit(""))) == "", F.lit("empty")).when(_marked(text), F.lit("format"))
+    return F.when(~finish.eqNullSafe(F.lit("stop")), F.coalesce(finish, F.lit("generation_failure"))).when(strip(F.coalesce(text, F.lit(""))) == "", F.lit("empty")).when(_marked(text), F.lit("format"))
 
 
 def pair_reason(current: Column, candidate: Column, finish: Column, chinese: Column | None = None, overflow: Column | None = None, ratio: float = 1.5, allowance: int = 8, normalised: bool = True) -> Column:
@@ -41,7 +41,7 @@ def pair_reason(current: Column, candidate: Column, finish: Column, chinese: Col
 
 def runtime_reason(before: Column, text: Column, finish: Column) -> Column:
     """The gate while generating: overflow, empty, unfinished, format, no_chinese (always), length, on the trimmed text."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     return (
         F.when(finish.eqNullSafe(F.lit("context_length_exceeded")), F.lit("context_length_exceeded"))
         .when(t == "", F.lit("empty"))
@@ -58,7 +58,7 @@ def is_noop(current: Column, candidate: Column) -> Column:
 
 def admissible(current: Column, candidate: Column, ratio: float = 1.5, allowance: int = 8) -> Column:
     """Not blank, changed, not too long."""
-    return (F.trim(candidate) != "") & (candidate != current) & (F.length(candidate) <= ratio * F.length(current) + allowance)
+    return (strip(candidate) != "") & (candidate != current) & (F.length(candidate) <= ratio * F.length(current) + allowance)
 
 
 def accepts(verdict: Column, consistent: Column, current: Column, candidate: Column, ratio: Column | float | None = None) -> Column:
@@ -73,7 +73,7 @@ def quality_gate(current: Column, candidate: Column, before: Column, after: Colu
     gain, n = after - before, F.greatest(F.lit(1), F.length(current))
     reason = (
         F.when(~finite, F.raise_error(F.lit("nonfinite quality score")))
-        .when((F.trim(candidate) == "") | (candidate == current), F.lit("empty_or_identical"))
+        .when((strip(candidate) == "") | (candidate == current), F.lit("empty_or_identical"))
         .when(gain <= min_gain, F.lit("insufficient_quality_gain"))
         .when(F.length(candidate) > hard * n + allowance, F.lit("hard_length_limit"))
         .when((F.length(candidate) > soft * n + allowance) & (gain <= expansion_gain), F.lit("expansion_without_strong_gain"))
@@ -101,7 +101,7 @@ def decision(accept: Column, reject: Column) -> Column:
 
 def failed_checks(checks: Column) -> Column:
     """Of array<struct<name, verdict>> those whose verdict isn't YES."""
-    return F.filter(checks, lambda x: F.upper(F.trim(x["verdict"])) != "YES")
+    return F.filter(checks, lambda x: F.upper(strip(x["verdict"])) != "YES")
 
 
 def says_no_error(reply: Column) -> Column:
@@ -123,7 +123,7 @@ def best_by_margin(candidates: Column, margin: float) -> Column:
 
 def winner(raw: Column, reverse: Column, low: tuple[str, str, str, str] = ("better", "worse", "tie", "uncertain")) -> Column:
     """A judgment of A against B, where reverse puts the candidate first: about the candidate."""
-    v = F.upper(F.trim(raw))
+    v = F.upper(strip(raw))
     better, worse, tie, uncertain = map(F.lit, low)
     return F.when(v.isin("A", "B"), F.when((v == "A") == reverse, better).otherwise(worse)).when(v == "TIE", tie).otherwise(uncertain)
 
@@ -142,7 +142,7 @@ def combine_soft(first: Column, second: Column) -> Column:
 def controller_action(reply: Column, fixed: bool = False) -> Column:
     """struct(action, instruction, reason, failure) of a JSON reply: an unknown action refines if it has an instruction, no JSON stops."""
     obj = json_object(reply)
-    field = lambda name: F.trim(F.coalesce(F.get_json_object(obj, f"$.{name}"), F.lit("")))
+    field = lambda name: strip(F.coalesce(F.get_json_object(obj, f"$.{name}"), F.lit("")))
     failed = obj.isNull() | F.get_json_object(obj, "$.action").isNull()
     action = F.lit("REFINE") if fixed else F.when(F.upper(field("action")).isin("REFINE", "STOP"), F.upper(field("action"))).when(field("instruction") != "", F.lit("REFINE")).otherwise(F.lit("STOP"))
     blank = F.lit("")

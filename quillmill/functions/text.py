@@ -15,9 +15,16 @@ from pyspark.sql.functions import pandas_udf, udtf
 
 #: Parts the fields of a composite key.
 SEP = "\x1f"
+#: Fixed set: the white space of Unicode and the four separators of ASCII.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _CJK = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]"
 
 
+def strip(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
 @pandas_udf(T.StringType())
 def norm(s: pd.Series) -> pd.Series:
     """NFKC, case-folded, without any white space; null stays null."""
@@ -122,15 +129,15 @@ MARKERS = ("### SPLIT ###", "Refined Translation:", "Refined Summary:", "Correct
 
 def answer(text: Column) -> Column:
     """The text without thinking, behind the last of each marker, trimmed, without quotes around it."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
+    out = strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
     for marker in MARKERS:
-        out = F.when(out.contains(marker), F.trim(F.substring_index(out, marker, -1))).otherwise(out)
-    return F.regexp_replace(F.trim(out), r'^"+|"+$', "")
+        out = F.when(out.contains(marker), strip(F.substring_index(out, marker, -1))).otherwise(out)
+    return F.regexp_replace(strip(out), r'^"+|"+$', "")
 
 
 def json_object(text: Column) -> Column:
     """A JSON object in the text, as text: all of it without code fences, else its widest {...}; null if neither parses."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(text), r"(?i)^```(?:json)?", "")), r"```$", ""))
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(strip(text), r"(?i)^```(?:json)?", "")), r"```$", ""))
     inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     parsed = lambda c: F.try_parse_json(F.when(c != "", c))
     return F.when(parsed(bare).isNotNull(), bare).when(parsed(inner).isNotNull(), inner)
@@ -169,8 +176,8 @@ def verdicts(s: pd.Series) -> pd.Series:
 
 def last_paragraph(text: Column) -> Column:
     """The last paragraph that isn't blank; the trimmed text if there is none; empty for null."""
-    parts = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), "\n\n"), lambda p: F.trim(p) != "")
-    return F.coalesce(F.trim(F.element_at(F.when(F.size(parts) > 0, parts), -1)), F.trim(F.coalesce(text, F.lit(""))))
+    parts = F.filter(F.split(strip(F.coalesce(text, F.lit(""))), "\n\n"), lambda p: strip(p) != "")
+    return F.coalesce(strip(F.element_at(F.when(F.size(parts) > 0, parts), -1)), strip(F.coalesce(text, F.lit(""))))
 
 
 def approx_tokens(text: Column) -> Column:
@@ -181,7 +188,7 @@ def approx_tokens(text: Column) -> Column:
 
 def strip_prefix(text: Column) -> Column:
     """What stands behind the first colon, trimmed; all of it without a colon."""
-    return F.trim(F.regexp_replace(text, r"(?s)^[^:]*:", ""))
+    return strip(F.regexp_replace(text, r"(?s)^[^:]*:", ""))
 
 
 def split_of_path(path: Column) -> Column:

@@ -90,8 +90,10 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     words = lambda c: F.split(F.trim(c), r"\s+")
     inner = items.select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") >= 4)
     inner = inner.select("item_id", "item", F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("pair"))
-    placed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("at", "word"))
-    near = placed.select("doc_id", F.xxhash64("word", F.get("w", F.col("at") + 1)).alias("pair")).join(inner.select("pair", "item_id"), "pair").select("doc_id", "item_id").distinct()
+    rest = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.xxhash64(a, b))
+    placed = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(pairs)).alias("pair"))
+    near = placed.join(inner.select("pair", "item_id"), "pair").select("doc_id", "item_id").distinct()
     return near.join(docs.select("doc_id", "text"), "doc_id").join(inner.select("item_id", "item"), "item_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
 
 

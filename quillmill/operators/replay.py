@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules
+from quillmill.functions.text import strip
 
 
 def _accepts(cur: Column, r: Column, ratio: Column | float | None) -> Column:
@@ -108,7 +109,7 @@ def flatten_candidates(states: DataFrame) -> DataFrame:
     """sample_id, state_index, before, slot, candidate, valid, identical of states(sample_id, states array<struct<before, candidates array<struct>>>)."""
     s = states.select("sample_id", F.posexplode("states").alias("state_index", "s"))
     c = s.select("sample_id", "state_index", F.col("s.before").alias("before"), F.posexplode("s.candidates").alias("slot", "c"))
-    return c.select("sample_id", "state_index", "before", "slot", F.col("c.text").alias("candidate"), (F.col("c.text") == F.col("before")).alias("identical")).withColumn("valid", (F.trim("candidate") != "") & ~F.col("identical"))
+    return c.select("sample_id", "state_index", "before", "slot", F.col("c.text").alias("candidate"), (F.col("c.text") == F.col("before")).alias("identical")).withColumn("valid", (strip(F.col("candidate")) != "") & ~F.col("identical"))
 
 
 def state_before(rounds: DataFrame, by: str, order: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.functions.text import split_of_path
+from quillmill.functions.text import split_of_path, strip
 from quillmill.operators.ordered import placed
 
 
@@ -55,7 +55,7 @@ def csv(spark: SparkSession, path: str, usecols: list[str] | None = None) -> Dat
 
 def contrastive(df: DataFrame, columns: list[str], wrong: str, right: str) -> tuple[DataFrame, DataFrame]:
     """Trimmed rows that have all columns and a contrast; and one row of what was left out."""
-    t = df.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in columns})
+    t = df.withColumns({c: strip(F.coalesce(F.col(c), F.lit(""))) for c in columns})
     empty = F.exists(F.array(*columns), lambda x: x == "")
     same = F.col(wrong) == F.col(right)
     return t.where(~empty & ~same), t.agg(F.count_if(empty).alias("empty"), F.count_if(~empty & same).alias("no_contrast"), F.count(F.lit(1)).alias("rows"))
@@ -90,7 +90,7 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, drop_last:
     fixed = F.regexp_replace("line", "^﻿", "")
     row = F.from_json(fixed, schema, {"mode": "PERMISSIVE"})
     valid = F.try_parse_json(fixed).isNotNull()
-    status = F.when(F.trim("line") == "", "blank").when(last & (F.lit(drop_last) | ~valid), "truncated").when(valid, "ok").otherwise("bad")
+    status = F.when(strip(F.col("line")) == "", "blank").when(last & (F.lit(drop_last) | ~valid), "truncated").when(valid, "ok").otherwise("bad")
     return lines.withColumn("status", status).withColumn("row", F.when(F.col("status") == "ok", row)).select("path", "line_no", "row", "status")
 
 
@@ -102,7 +102,7 @@ def require_ok(lines: DataFrame) -> DataFrame:
 
 def nul_repaired(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """path, line_no, row, repaired: NUL bytes taken out before parsing, and whether a line had any."""
-    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    lines = numbered_lines(spark, path).where(strip(F.col("line")) != "")
     return lines.select("path", "line_no", F.from_json(F.translate("line", "\0", ""), schema).alias("row"), F.contains("line", F.lit("\0")).alias("repaired"))
 
 

@@ -44,6 +44,17 @@ def test_pair_validity_order(spark):
     assert why(cur="abc", cand="english", fin="stop", zh=0) is None
 
 
+def test_blank_is_any_white_space(spark):
+    blank = " \n\t\r\u3000\u00a0\x1f"
+    assert blank.strip() == "" == one(spark, T.strip(F.col("a")), a=blank)
+    assert one(spark, R.format_reason(F.lit("stop"), F.col("a")), a=blank) == "empty"
+    assert one(spark, R.quality_gate(F.lit("abc"), F.col("a"), F.lit(0.1), F.lit(0.9)), a="\n").reason == "empty_or_identical"
+    assert one(spark, T.answer(F.col("a")), a='Summary:\n"The end"\n') == "The end"
+    assert one(spark, T.strip_prefix(F.col("a")), a="Fix:\nthis \n") == "this"
+    assert one(spark, R.winner(F.col("a"), F.lit(False)), a="A\n") == "worse"
+    assert one(spark, T.json_object(F.col("a")), a='```json\n{"x": 1}\n```\n') == '{"x": 1}'
+
+
 def test_runtime_validity_has_its_own_order(spark):
     why = lambda **v: one(spark, R.runtime_reason(F.col("cur"), F.col("cand"), F.col("fin")), **v)
     assert why(cur="", cand="", fin="context_length_exceeded") == "context_length_exceeded"
