@@ -129,10 +129,9 @@ MARKERS = ("### SPLIT ###", "Refined Translation:", "Refined Summary:", "Correct
 
 def answer(text: Column) -> Column:
     """The text without thinking, behind the last of each marker, trimmed, without quotes around it."""
-    out = strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
-    for marker in MARKERS:
-        out = F.when(out.contains(marker), strip(F.substring_index(out, marker, -1))).otherwise(out)
-    return F.regexp_replace(strip(out), r'^"+|"+$', "")
+    bare = strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
+    behind = lambda acc, marker: F.when(F.contains(acc, marker), strip(F.call_function("substring_index", acc, marker, F.lit(-1)))).otherwise(acc)
+    return F.regexp_replace(strip(F.aggregate(F.array(*map(F.lit, MARKERS)), bare, behind)), r'^"+|"+$', "")
 
 
 def json_object(text: Column) -> Column:

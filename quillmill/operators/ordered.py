@@ -27,3 +27,17 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
 def placed(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place in the order, from 0."""
     return running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+
+
+def quantiles(df: DataFrame, by: str, value: str, points: dict[str, float]) -> DataFrame:
+    """by and exact quantiles (linear between neighbours) of non-null values under the names given; no group is one task's."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    upto = running(counts, [F.col(by), F.col(value)], {"__upto": F.col("__n")})
+    sizes = upto.groupBy(by).agg(F.sum("__n").alias("__all"), F.min(F.col("__upto") - F.col("__n")).alias("__before"))
+    rows = upto.join(sizes, by).withColumn("__end", F.col("__upto") - F.col("__before")).withColumn("__start", F.col("__end") - F.col("__n"))
+    at = lambda place: F.max(F.when((F.col("__start") <= place) & (place < F.col("__end")), F.col(value)))
+    place = {name: F.lit(float(p)) * (F.col("__all") - 1) for name, p in points.items()}
+    ends = [x for name, c in place.items() for x in (at(F.floor(c)).alias(f"__low_{name}"), at(F.ceil(c)).alias(f"__high_{name}"))]
+    found = rows.groupBy(by, "__all").agg(*ends)
+    between = lambda name, c: F.col(f"__low_{name}") + (F.col(f"__high_{name}") - F.col(f"__low_{name}")) * (c - F.floor(c))
+    return found.select(by, *[between(name, c).alias(name) for name, c in place.items()])

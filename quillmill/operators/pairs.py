@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import rules
+from quillmill.operators.ordered import quantiles
 from quillmill.functions.text import composite_key
 
 
@@ -62,7 +63,7 @@ def by_generator(occ: DataFrame, pairs: DataFrame) -> DataFrame:
 def generator_quantiles(occ: DataFrame, pairs: DataFrame, points: list[float]) -> DataFrame:
     """Per generator: quantiles (linear) of the deltas of its distinct pairs, whatever their occurrences' validity."""
     d = pairs.select("pair_id", "delta").join(occ.select("pair_id", "generator"), "pair_id").where("delta is not null").distinct()
-    return d.groupBy("generator").agg(F.percentile("delta", F.array(*map(F.lit, points))).alias("q")).select("generator", *[F.get("q", F.lit(i)).alias(f"q{round(p * 100):02d}") for i, p in enumerate(points)])
+    return quantiles(d, "generator", "delta", {f"q{round(p * 100):02d}": p for p in points})
 
 
 def by_bucket(occ: DataFrame, pairs: DataFrame, bucket: str) -> DataFrame:

@@ -24,7 +24,8 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def index(docs: DataFrame, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """doc, token, weight: what a query token that the document holds adds to its BM25 score."""
     posts = postings(docs, id_col, text_col)
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(field_tokens(F.col(text_col)))).alias("mean"))
+    total = posts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total)).select("n", F.try_divide("total", "n").alias("mean"))
     df = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return posts.join(df, "token").crossJoin(F.broadcast(stats)).select("doc", "token", (rules.idf(F.col("n"), F.col("df")) * rules.saturation(F.col("tf"), F.col("length"), F.col("mean"), k1, b)).alias("weight"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.operators import intervals as V
 from quillmill.operators import isolation as I
 from quillmill.operators import joins as J
+from quillmill.operators import ordered as O
 from quillmill.operators import replay as G
 from quillmill.operators import retrieval as R
 from quillmill.operators import sampling as S
@@ -156,6 +157,21 @@ def test_spread(spark):
     assert [list(r.s) for r in got] == [[0, 3, 6, 9], [0, 1, 2], []]
 
 
+def test_running_totals_and_quantiles(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.choice([None, *[x / 4 for x in range(9)]])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, g string, x double").repartition(7)
+    got = O.running(df, [F.col("id").desc()], {"n": F.lit(1).cast("long"), "s": F.col("id").cast("long")}).collect()
+    assert len(got) == 200 and all((r.n, r.s) == (200 - r.id, sum(range(r.id, 200))) for r in got)
+    assert {(r.id, r.at) for r in O.placed(df, [F.col("g"), F.col("id")], "at").collect()} == {(r[0], k) for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    points = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q100": 1.0}
+    want = df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points.values()))).alias("q")).collect()
+    found = {r.g: [r[name] for name in points] for r in O.quantiles(df, "g", "x", points).collect()}
+    assert found == {r.g: pytest.approx(list(r.q)) for r in want}
+    assert O.placed(df.where("id < 0"), [F.col("id")], "at").count() == O.quantiles(df.where("id < 0"), "g", "x", points).count() == 0
+    assert [r.x for r in S.top_share(df.select("id", F.col("id").alias("x")), "x", "id", 0.011).orderBy("x").collect()] == [197, 198, 199]
+
+
 def test_nearest_rank_is_not_interpolated(spark):
     xs = list(range(1, 22))
     r = St.nearest_rank(spark.createDataFrame([("g", float(x)) for x in xs], "g string, x double"), ["g"], "x").first()
