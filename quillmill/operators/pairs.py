@@ -63,7 +63,7 @@ def by_generator(occ: DataFrame, pairs: DataFrame) -> DataFrame:
 def generator_quantiles(occ: DataFrame, pairs: DataFrame, points: list[float]) -> DataFrame:
     """Per generator: quantiles (linear) of the deltas of its distinct pairs, whatever their occurrences' validity."""
     d = pairs.select("pair_id", "delta").join(occ.select("pair_id", "generator"), "pair_id").where("delta is not null").distinct()
-    return quantiles(d, "generator", "delta", {f"q{round(p * 100):02d}": p for p in points})
+    return quantiles(d, ["generator"], "delta", {f"q{round(p * 100):02d}": p for p in points})
 
 
 def by_bucket(occ: DataFrame, pairs: DataFrame, bucket: str) -> DataFrame:

@@ -69,14 +69,10 @@ def top_share(df: DataFrame, score: str, id_col: str, share: float) -> DataFrame
 
 def in_batches(df: DataFrame, order: list[str], size: int, by: list[str] | None = None) -> DataFrame:
     """Adds batch: position in order, over all rows or by groups, div size."""
-    if not by:
-        return placed(df, [F.col(c) for c in order], "batch").withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return placed(df, [F.col(c) for c in order], "batch", by).withColumn("batch", F.floor(F.col("batch") / size).cast("long"))
 
 
 def permutations(df: DataFrame, id_col: str, orders: int, seed: int) -> DataFrame:
     """Adds order and position: so many distinct orders of the same rows, each by its own hash."""
     each = df.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
-    w = Window.partitionBy("order").orderBy(composite_key(F.lit(seed), F.col("order"), F.col(id_col)), id_col)
-    return each.withColumn("position", F.row_number().over(w) - 1)
+    return placed(each, [composite_key(F.lit(seed), F.col("order"), F.col(id_col)), F.col(id_col)], "position", ["order"])

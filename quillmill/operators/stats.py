@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import hash_draw
-from quillmill.operators.ordered import running
+from quillmill.operators.ordered import at_places, running, within
 
 #: Draws that one row of a replicate stands for, before they are made.
 DRAWS = 1 << 16
@@ -41,20 +41,23 @@ def probability_metrics(df: DataFrame, by: list[str], p: str = "p", truth: str =
 def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Adds the rank of a value, ties sharing their mean rank: ranks of distinct values from running counts, joined back."""
     n = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    ranks = n.select(*by, value, (below + (F.col("__n") + 1) / 2).alias(out))
+    ranks = within(n, by, [F.col(value)], {"__upto": F.col("__n")}).select(*by, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))
     return df.join(ranks, [*by, value])
 
 
 def auc(df: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
     """Per group: area under the curve by ranks, ties half; null with one class only. Only counts by distinct score are sorted."""
-    return auc_of_counts(df.groupBy(*by, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg")), by, score)
+    n = df.groupBy(*by, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg"))
+    return _area(within(n, by, [F.col(score)], {"upto": F.col("neg")}).withColumn("below", F.col("upto") - F.col("neg")), by)
 
 
 def auc_of_counts(n: DataFrame, by: list[str], score: str) -> DataFrame:
-    """The area under the curve of a table (by..., score, pos, neg)."""
+    """The area under the curve of a table (by..., score, pos, neg) of many groups, such as replicates."""
     w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    s = n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    return _area(n.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0))), by)
+
+
+def _area(s: DataFrame, by: list[str]) -> DataFrame:
     return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
@@ -180,10 +183,10 @@ def order_variance(values: DataFrame, order: str, value: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float = 0.95) -> DataFrame:
-    """Per group: mean, median, and the sorted value at max(0, int(q n) - 1), by a window and not by a list."""
-    w = Window.partitionBy(*by).orderBy(value)
-    r = df.withColumn("__rn", F.row_number().over(w)).withColumn("__at", F.greatest(F.lit(1), F.floor(F.lit(q) * F.count(F.lit(1)).over(Window.partitionBy(*by)))))
-    return r.groupBy(*by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(F.when(F.col("__rn") == F.col("__at"), F.col(value))).alias("nearest"))
+    """Per group: mean, median, and the sorted value at max(0, int(q n) - 1), of non-null values."""
+    middle, n = (F.col("__all") - 1) / 2, F.col("__all")
+    found = at_places(df, by, value, {"low": F.floor(middle), "high": F.ceil(middle), "nearest": F.greatest(F.lit(0), F.floor(F.lit(q) * n) - 1)})
+    return df.groupBy(*by).agg(F.avg(value).alias("mean")).join(found.select(*by, ((F.col("low") + F.col("high")) / 2).alias("median"), "nearest"), by)
 
 
 def best_threshold(df: DataFrame, score: str, good: str, least: int = 20) -> DataFrame:

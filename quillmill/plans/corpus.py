@@ -392,7 +392,7 @@ def f37_path_parts(spark, d):
     return table(spark, d, "pages").select("page_id", F.when(F.contains("url", F.lit("://")), F.get(F.split(F.get(F.split("url", "://", 2), F.lit(1)), "/"), F.lit(0))).otherwise("").alias("host"))
 
 
-@query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS INT) AS filtered_index, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch FROM documents WHERE source <> 'src0'""")
+@query("""SELECT doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS filtered_index, CAST((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS BIGINT) AS batch FROM documents WHERE source <> 'src0'""")
 def s6_filtered_index(spark, d):
     """Rows numbered anew behind a filter, in batches of 16."""
     from quillmill.sources.readers import filtered_index

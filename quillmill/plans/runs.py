@@ -327,7 +327,7 @@ def w24_top_share(spark, d):
     return S.top_share(decisions(spark, d).select("id", "p"), "p", "id", 0.1)
 
 
-@query("""WITH o AS (SELECT unnest([0, 1, 2]) AS "order"), x AS (SELECT o."order", s_suppkey, sha256('3' || chr(31) || o."order" || chr(31) || s_suppkey) AS h FROM supplier, o) SELECT CAST("order" AS INT) AS "order", s_suppkey, CAST(row_number() OVER (PARTITION BY "order" ORDER BY h, s_suppkey) - 1 AS INT) AS position FROM x""")
+@query("""WITH o AS (SELECT unnest([0, 1, 2]) AS "order"), x AS (SELECT o."order", s_suppkey, sha256('3' || chr(31) || o."order" || chr(31) || s_suppkey) AS h FROM supplier, o) SELECT CAST("order" AS INT) AS "order", s_suppkey, CAST(row_number() OVER (PARTITION BY "order" ORDER BY h, s_suppkey) - 1 AS BIGINT) AS position FROM x""")
 def l10_permutations(spark, d):
     """Three orders of one stream by hash."""
     return S.permutations(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 3, 3)

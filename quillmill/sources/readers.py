@@ -41,9 +41,7 @@ def with_global_index(parts: dict[str, DataFrame], order: str) -> DataFrame:
 
 def filtered_index(df: DataFrame, keep: Column, order: str, by: list[str] | None = None) -> DataFrame:
     """The rows that are kept, numbered anew from 0, over all or within groups."""
-    if not by:
-        return placed(df.where(keep), [F.col(order)], "filtered_index")
-    return df.where(keep).withColumn("filtered_index", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    return placed(df.where(keep), [F.col(order)], "filtered_index", by)
 
 
 def csv(spark: SparkSession, path: str, usecols: list[str] | None = None) -> DataFrame:

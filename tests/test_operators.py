@@ -164,11 +164,14 @@ def test_running_totals_and_quantiles(spark):
     got = O.running(df, [F.col("id").desc()], {"n": F.lit(1).cast("long"), "s": F.col("id").cast("long")}).collect()
     assert len(got) == 200 and all((r.n, r.s) == (200 - r.id, sum(range(r.id, 200))) for r in got)
     assert {(r.id, r.at) for r in O.placed(df, [F.col("g"), F.col("id")], "at").collect()} == {(r[0], k) for k, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
+    each = {(r.g, r.id): r.at for r in O.placed(df, [F.col("id")], "at", ["g"]).collect()}
+    assert each == {(g, i): k for g in "ab" for k, i in enumerate(r[0] for r in rows if r[1] == g)}
+    assert sorted(r.at for r in O.placed(df, [F.col("id")], "at", ["x"]).where("x is null").collect()) == list(range(sum(r[2] is None for r in rows)))
     points = {"q0": 0.0, "q10": 0.1, "q50": 0.5, "q95": 0.95, "q100": 1.0}
     want = df.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, points.values()))).alias("q")).collect()
-    found = {r.g: [r[name] for name in points] for r in O.quantiles(df, "g", "x", points).collect()}
+    found = {r.g: [r[name] for name in points] for r in O.quantiles(df, ["g"], "x", points).collect()}
     assert found == {r.g: pytest.approx(list(r.q)) for r in want}
-    assert O.placed(df.where("id < 0"), [F.col("id")], "at").count() == O.quantiles(df.where("id < 0"), "g", "x", points).count() == 0
+    assert O.placed(df.where("id < 0"), [F.col("id")], "at").count() == O.quantiles(df.where("id < 0"), ["g"], "x", points).count() == 0
     assert [r.x for r in S.top_share(df.select("id", F.col("id").alias("x")), "x", "id", 0.011).orderBy("x").collect()] == [197, 198, 199]
 
 
