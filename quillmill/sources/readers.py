@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,9 +73,17 @@ def json_tolerant(spark: SparkSession, path: str, schema: T.StructType, required
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no (from 1 in each file), line. Whole files are single splits here, so a file's lines are in order."""
-    df = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return df.select("path", (F.col("at") + 1).alias("line_no"), F.col("line"))
+    """path, line_no (from 1 in each file), line, open: whether it is the file's last one and lacks its end.
+
+    Large files are read in many splits: a line's place follows from the split's start and its turn there. A file whose
+    lines, with an end each, take one byte more than it has (or two less, behind a byte-order mark) lacks the last end.
+    """
+    meta = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__block"), F.col("_metadata.file_size").alias("__size")
+    raw = spark.read.text(path, lineSep="\n").select(*meta, F.monotonically_increasing_id().alias("__turn"), F.col("value").alias("line"))
+    rows = placed(raw, [F.col("__block"), F.col("__turn")], "line_no", ["path"]).withColumn("line_no", F.col("line_no") + 1)
+    over = F.sum(F.octet_length("line") + 1) - F.max("__size")
+    files = rows.groupBy("path").agg(F.max("line_no").alias("__last"), over.isin(1, -2).alias("__open"))
+    return rows.join(files, "path").select("path", "line_no", "line", (F.col("__open") & (F.col("line_no") == F.col("__last"))).alias("open"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, drop_last: bool = False) -> DataFrame:
@@ -84,11 +92,10 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, drop_last:
     drop_last leaves out each file's last unterminated line, parsable or not.
     """
     lines = numbered_lines(spark, path)
-    last = F.max("line_no").over(Window.partitionBy("path")) == F.col("line_no")
-    fixed = F.regexp_replace("line", "^﻿", "")
+    fixed = F.regexp_replace("line", "^\ufeff", "")
     row = F.from_json(fixed, schema, {"mode": "PERMISSIVE"})
     valid = F.try_parse_json(fixed).isNotNull()
-    status = F.when(strip(F.col("line")) == "", "blank").when(last & (F.lit(drop_last) | ~valid), "truncated").when(valid, "ok").otherwise("bad")
+    status = F.when(strip(F.col("line")) == "", "blank").when(F.col("open") & (F.lit(drop_last) | ~valid), "truncated").when(valid, "ok").otherwise("bad")
     return lines.withColumn("status", status).withColumn("row", F.when(F.col("status") == "ok", row)).select("path", "line_no", "row", "status")
 
 

@@ -77,6 +77,25 @@ def test_json_lines_of_all_kinds(spark, tmp_path):
     assert readers.json_tolerant(spark, str(f), SCHEMA, "rounds").where("bad").count() >= 2
 
 
+def test_lines_of_files_in_many_splits(spark, tmp_path):
+    files = {}
+    for name, mark, end in (("a", b"", b"\n"), ("b", b"", b""), ("c", "\ufeff".encode(), b"\n"), ("d", "\ufeff".encode(), b""), ("e", b"", b"\r\n")):
+        files[name] = [json.dumps({"sample_id": "é" * (i % 7) + str(i), "rounds": []}, ensure_ascii=False) for i in range(60)]
+        (tmp_path / f"{name}.jsonl").write_bytes(mark + "\n".join(files[name]).encode() + end)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = readers.numbered_lines(spark, str(tmp_path / "*.jsonl"))
+        assert spark.read.text(str(tmp_path / "*.jsonl")).rdd.getNumPartitions() > 5
+        found = {}
+        for r in got.orderBy("path", "line_no").collect():
+            found.setdefault(r.path[-7], []).append((r.line_no, r.line.lstrip("\ufeff").rstrip("\r"), r.open))
+        assert found == {name: [(k + 1, line, k == 59 and name in "bd") for k, line in enumerate(lines)] for name, lines in files.items()}
+        assert readers.json_lines(spark, str(tmp_path / "*.jsonl"), SCHEMA, drop_last=True).groupBy("status").count().orderBy("status").collect() == [("ok", 298), ("truncated", 2)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_csv_with_byte_order_mark(spark, tmp_path):
     f = tmp_path / "x.csv"
     f.write_bytes('﻿source,gold\n" a ","line\nbreak"\nsame,same\n,x\n'.encode())
