@@ -66,8 +66,8 @@ def hash_rank(*parts: Column) -> Column:
 
 
 def hash_draw(n: Column, *parts: Column) -> Column:
-    """A draw from 0 to n - 1 by a counter hash: 32 bits of md5 over the parts joined by '|', modulo n."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("long") % n
+    """A draw from 0 to n - 1 by a counter hash: 60 bits of md5 over the parts joined by '|', modulo n."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long") % n
 
 
 def seed31(*parts: Column) -> Column:

@@ -112,4 +112,4 @@ dec AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_linestatus AS model, l
 """
 
 #: Place of a draw among n, of replicate b and number i: what hash_draw gives.
-DRAW = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 8)) AS BIGINT) % n"
+DRAW = "CAST(('0x' || substr(md5('{seed}|' || b || '|' || i), 1, 15)) AS BIGINT) % n"
