@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from quillmill.sources.scratch import shared_dir
+
 #: Bytes of text that a Python worker handles at a time, whatever Arrow's batch holds.
 SLICE_BYTES = 4 << 20
 
@@ -35,15 +36,6 @@ def digest(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. On one machine the warehouse does where it is unset."""
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", ""):
-        return found.rstrip("/")
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read again. Survives lost executors, costs no memory."""
     spark = df.sparkSession
