@@ -297,11 +297,15 @@ def j21_born_before(spark, d):
 d AS (SELECT a.grp, a.idx AS i, b.idx AS j, CASE WHEN a.o_totalprice > b.o_totalprice THEN a.idx ELSE b.idx END AS won FROM f a JOIN f b ON a.grp = b.grp AND a.idx < b.idx)
 SELECT grp AS "group", arg_max(idx, o_totalprice) AS winner FROM f GROUP BY grp HAVING count(*) > 1""")
 def w11_copeland(spark, d):
-    """Round robin of all orders of a customer; by a total order the winner beats all."""
+    """Round robin of all orders of a customer: the dearer wins, any price beats none; of the dearest the first wins."""
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    c = table(spark, d, "orders").select(F.col("o_custkey").alias("group"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "o_totalprice")
+    c = table(spark, d, "orders").select(F.struct("o_custkey").alias("group"), (F.row_number().over(w) - 1).cast("long").alias("idx"), "o_totalprice")
     p = J.all_pairs(c, "group", "idx", "o_totalprice")
-    return G.copeland(p.select("group", "i", "j", F.when(F.col("o_totalprice_i") > F.col("o_totalprice_j"), F.col("i")).otherwise(F.col("j")).alias("won")))
+    x, y = F.col("o_totalprice_i"), F.col("o_totalprice_j")
+    won = F.when(x.isNotNull() & (y.isNull() | (x > y)), F.col("i")).when(y.isNotNull() & (x.isNull() | (y > x)), F.col("j"))
+    priced = c.groupBy("group").agg(F.count("o_totalprice").alias("n_priced"))
+    best = G.copeland(p.select("group", "i", "j", won.alias("won"))).join(priced, "group")
+    return best.select(F.col("group.o_custkey").alias("group"), F.when(F.col("n_priced") > 0, F.col("winner")).alias("winner"))
 
 
 @query("""WITH own AS (SELECT c_custkey AS id, c_acctbal < 0 AS running, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0), ed AS (SELECT c_custkey AS id, upper(c_mktsegment) || '!' AS seg FROM customer WHERE c_custkey % 5 <> 0)
