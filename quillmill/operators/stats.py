@@ -1,8 +1,8 @@
 """Classification metrics, ranks, intervals by resampling, corrections for many tests.
 
 Draws come from a counter hash of (seed, replicate, position), so any engine gives the same ones. What is resampled is
-first summed to its clusters; a replicate's position is an equi-join on the drawn place, and its sums are partial
-aggregates: no row of the data is copied for a replicate.
+first summed to its clusters; a replicate's sums are products of how often it draws each place and the places' values
+(`resample`): neither rows of the data nor draws are rows of a replicate.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import hash_draw
-from quillmill.operators.ordered import at_places, running, within
+from quillmill.operators.ordered import at_places, placed, running, within
+from quillmill.operators.resample import drawn_sums
+from quillmill.sources.scratch import stored
 
 #: Draws that one row of a replicate stands for, before they are made.
 DRAWS = 1 << 16
@@ -101,10 +103,11 @@ def resampled_sums(clusters: DataFrame, by: list[str], sums: list[str], order: s
     shared: the groups among by whose members see the same draws (all models of a study, say); draws are made for these.
     """
     shared = by if shared is None else shared
-    placed = numbered(clusters, by, order)
-    groups = placed.groupBy(*shared).agg(F.max("n").alias("n")) if shared else placed.agg(F.max("n").alias("n"))
-    drawn = replicates(groups, shared, b, seed).groupBy(*shared, "replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    return placed.join(drawn, [*shared, "place"]).groupBy(*by, "replicate").agg(*[F.sum(F.col(s) * F.col("times")).alias(s) for s in sums])
+    kept = stored(clusters.select(*by, order, *sums), "clusters")
+    sizes = kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.groupBy(*shared).agg(F.max("n").alias("n"))
+    places = placed(kept, [F.col(order)], "place", by)
+    return drawn_sums(places.join(most, shared) if shared else places.crossJoin(F.broadcast(most)), by, sums, b, seed)
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], a: str, b: str, order: str, n_resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
