@@ -135,10 +135,10 @@ def clustered_auc(rows: DataFrame, model: str, cluster: str, score: str, truth:
 
     All models see the same draws from the clusters of all rows. What is resampled are counts by cluster and score.
     """
-    placed = numbered(rows.select(cluster).distinct().withColumn("__all", F.lit(1)), ["__all"], cluster)
-    drawn = replicates(placed.groupBy("__all").agg(F.max("n").alias("n")), ["__all"], n_resamples, seed).groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("times"))
-    counts = rows.groupBy(model, cluster, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg")).join(placed.select(cluster, "place"), cluster)
-    each = counts.join(drawn, "place").groupBy(model, "replicate", score).agg(F.sum(F.col("pos") * F.col("times")).alias("pos"), F.sum(F.col("neg") * F.col("times")).alias("neg"))
+    counts = stored(rows.groupBy(model, cluster, score).agg(F.sum(truth).alias("pos"), F.sum(1 - F.col(truth)).alias("neg")), "counts")
+    places = placed(counts.select(cluster).distinct(), [F.col(cluster)], "place")
+    sized = counts.join(places, cluster).crossJoin(F.broadcast(places.agg(F.count(F.lit(1)).alias("n"))))
+    each = drawn_sums(sized, [model, score], ["pos", "neg"], n_resamples, seed)
     found = auc_of_counts(each, [model, "replicate"], score).groupBy(model).agg(F.percentile("auc", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.count("auc").alias("valid"))
     return found.select(model, F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"), "valid")
 
