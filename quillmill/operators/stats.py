@@ -112,7 +112,7 @@ def resampled_sums(clusters: DataFrame, by: list[str], sums: list[str], order: s
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], a: str, b: str, order: str, n_resamples: int = 2000, seed: int = 0, alpha: float = 0.05) -> DataFrame:
     """Per group: n, means, difference, percentile interval and two-sided p of mean(a - b). No pairs give no row."""
-    d = pairs.withColumn("__d", F.col(a) - F.col(b))
+    d = stored(pairs.select(*by, order, a, b).withColumn("__d", F.col(a) - F.col(b)), "pairs")
     point = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias("mean_a"), F.avg(b).alias("mean_b"), F.avg("__d").alias("diff"))
     means = resampled_sums(d.select(*by, order, "__d"), by, ["__d"], order, n_resamples, seed).join(point.select(*by, "n", "diff"), by).withColumn("m", F.col("__d") / F.col("n"))
     low, high = max(0, int(alpha / 2 * n_resamples) - 1), min(n_resamples - 1, int((1 - alpha / 2) * n_resamples))
