@@ -166,6 +166,7 @@ def paired_model_differences(rows: DataFrame, model: str, cluster: str, n_resamp
     """first, second, mean difference and interval of accuracy between all pairs of models, over shared draws."""
     sums = rows.groupBy(model, cluster).agg(F.sum("correct").alias("correct"), F.count(F.lit(1)).alias("rows"))
     acc = resampled_sums(sums, [model], ["correct", "rows"], cluster, n_resamples, seed, shared=[]).select(model, "replicate", (F.col("correct") / F.col("rows")).alias("x"))
+    acc = stored(acc, "replicates")
     a, b = acc.select(F.col(model).alias("first"), "replicate", F.col("x").alias("xa")), acc.select(F.col(model).alias("second"), "replicate", F.col("x").alias("xb"))
     d = a.join(b, "replicate").where(F.col("first") < F.col("second")).withColumn("d", F.col("xa") - F.col("xb"))
     return d.groupBy("first", "second").agg(F.avg("d").alias("mean_diff"), F.percentile("d", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select("first", "second", "mean_diff", F.get("q", F.lit(0)).alias("ci_low"), F.get("q", F.lit(1)).alias("ci_high"))
