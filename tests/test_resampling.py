@@ -45,7 +45,7 @@ def draws_of(df):
     return "md5(" in df._jdf.queryExecution().analyzed().toString()
 
 
-@pytest.mark.parametrize("name", ["t9_corpus_bleu", "t14_clustered_auc", "t1_paired_bootstrap", "t2_clustered_bootstrap", "t3_model_differences"])
+@pytest.mark.parametrize("name", ["t9_corpus_bleu", "t14_clustered_auc", "t1_paired_bootstrap", "t2_clustered_bootstrap", "t3_model_differences", "t5_clustered_f1"])
 def test_no_row_for_a_draw(spark, name):
     assert not draws_of(plans.QUERIES[name](spark, SF))
 
